@@ -39,3 +39,9 @@ def queries() -> dict[str, Query]:
         "p10_texts": lambda s, d: truncation.truncated_texts(t(s, d, "documents")),
         "p10_rates": lambda s, d: truncation.truncation_rates(t(s, d, "documents")),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracle import oracle_sql
+
+    return oracle_sql()
