@@ -120,6 +120,10 @@ def is_garbled(text: str | None) -> bool:
 _TOKEN = re.compile(r"[^ \t\n]+")
 
 
+#: What a token can decode to: Latin, Greek, Cyrillic and Arabic letters, marks, signs and what garbles them again.
+_PLAUSIBLE = re.compile("[\\x20-\\x7e\\u0080-\\u036f\\u0370-\\u052f\\u0600-\\u06ff\\u2000-\\u22ff\\u2300-\\u25ff\\ufb00-\\ufdff\\ufe70-\\uffee]+")
+
+
 def _undo_wide(token: str) -> str | None:
     """``token`` with UTF-8 read under a one-byte code page undone, or None."""
     best = None
@@ -129,7 +133,7 @@ def _undo_wide(token: str) -> str | None:
             now = bytes(enc[c] for c in now).decode("utf-8")
         except (KeyError, UnicodeDecodeError):
             continue
-        if len(now) < len(token) and (best is None or len(now) < len(best)):
+        if len(now) < len(token) and _PLAUSIBLE.fullmatch(now) and (best is None or len(now) < len(best)):
             best = now
     return best
 
