@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.operators import intervals
 from quire.session import table as t
 
+from . import line_queries, text_queries
+
+MODULES = (text_queries, line_queries)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "p5_found": lambda s, d: intervals.shot_coverage(t(s, d, "shot")),
-    }
+    own = {"p5_found": lambda s, d: intervals.shot_coverage(t(s, d, "shot"))}
+    return own | {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    own = {
         "p5_found": """
 WITH iv AS (
   SELECT DISTINCT plan_id, CAST(round_even(start * 1000, 0) AS BIGINT) AS s, CAST(round_even("end" * 1000, 0) AS BIGINT) AS e
@@ -32,3 +35,4 @@ q AS (SELECT *, lead(s) OVER (PARTITION BY plan_id ORDER BY s) AS nxt FROM p)
 SELECT plan_id, 'period' AS kind, s AS start_ms, e AS end_ms FROM p
 UNION ALL SELECT plan_id, 'gap', e, nxt FROM q WHERE nxt IS NOT NULL""",
     }
+    return own | {k: q for m in MODULES for k, q in m.ORACLE.items()}
