@@ -61,9 +61,10 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, t: str, a: str) ->
     both = points.withColumn("__t", F.col(t)).withColumn("__a", F.lit(None).cast("double")).unionByName(
         anchors.select(key, F.col(a).alias("__t"), F.col(a).alias("__a")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy("__t")
-    lo = F.last("__a", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    hi = F.first("__a", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # two running frames, one from each end: a frame that begins at the row would be computed anew for every row
+    by = Window.partitionBy(key)
+    running = lambda *order: F.last("__a", ignorenulls=True).over(by.orderBy(*order).rangeBetween(Window.unboundedPreceding, 0))
+    lo, hi = running("__t"), running(F.desc("__t"))
     both = both.withColumn("__lo", lo).withColumn("__hi", hi).where("__a IS NULL")
     near = F.when(F.col("__hi").isNull(), F.col("__lo")).when(F.col("__lo").isNull(), F.col("__hi")).when(F.col("__t") - F.col("__lo") <= F.col("__hi") - F.col("__t"), F.col("__lo")).otherwise(F.col("__hi"))
     return both.select(*names, near.alias("near"))
