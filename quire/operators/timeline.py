@@ -44,9 +44,8 @@ def proportional_map(script: DataFrame, heard: DataFrame, key: str) -> DataFrame
 
     ``script``: (key, word_no, word); ``heard``: (key, word_no, start, end). Keys without heard words have no rows."""
     s_n = F.count("*").over(Window.partitionBy(key))
-    a = heard.withColumn("n_heard", F.count("*").over(Window.partitionBy(key)))
-    counts = a.groupBy(key).agg(F.count("*").alias("n_heard"))
-    x = script.withColumn("n", s_n).join(counts, key)
+    counts = heard.groupBy(key).agg(F.count("*").alias("n_heard"))
+    x = script.select(key, "word_no", "word").withColumn("n", s_n).join(counts, key)
     at = lambda i: F.floor(i * F.col("n_heard") / F.col("n")).cast("int")
     lo = F.least(F.col("n_heard") - 1, at(F.col("word_no"))).cast("int")
     hi = F.greatest(lo + 1, F.least(F.col("n_heard"), at(F.col("word_no") + 1))).cast("int")
