@@ -89,19 +89,20 @@ PARTS = (
     "�",
     "[\\u0080-\\u009f]",
     "ï»¿",
-    "[ÂÃØÙÚÛ]" + _class(_W1252),  # UTF-8 as cp1252 or latin-1
+    "[ÂÃØÙÚÛÐÑÎÏ]" + _class(_W1252),  # UTF-8 as cp1252 or latin-1
     "[ÂÃ][«»’–]|Å" + _class(set(_W1252) - set("–")) + "|â(?:€|‚¬)",
-    "[طظعغأآإ]" + _class(_W1256),  # UTF-8 as cp1256
+    "[طظعغأآإذر]" + _class(_W1256) + "|آ(?:[°±§©÷]|£\\d)",  # UTF-8 as cp1256
     "[طظأآ](?:[’‘“”–—…°¬«»][A-Za-zء-ي]|[پٹچژڈڑں])|[أآ][«»]|[A-Za-z]أ[ھ\\u00a0]|أھ[A-Za-z]|أ\\u00a0",
-    "√|[ÿŸ]" + _class(_decode(bytes(range(0x80, 0xC0)), "mac_roman")) + "|‚Ä|≈[A-ZÅôæú]|¬[´ª©∞£±ß®]",  # UTF-8 as MacRoman
+    "[أآإ][^\\x00-\\x7f\\u200b-\\u200f\\u2060\\ufeff]?[A-Za-z]",  # a Latin letter with the lead of one under cp1256
+    "[–—][∫∏≥≤∞Ω]|√|[ÿŸ]" + _class(_decode(bytes(range(0x80, 0xC0)), "mac_roman")) + "|‚Ä|≈[A-ZÅôæú]|¬[´ª©∞£±ß®]",  # UTF-8 as MacRoman
     "[╪┘┌┤┬├╬┼]|Γ[ÇöÜ]",  # UTF-8 as a DOS page
     "(?<![A-Za-zÀ-ÿ])[À-ÿ][À-ÿ¡¿]+(?![A-Za-z])",  # Arabic letters as Latin ones
     "[A-Za-zÀ-ÿ][‚ƒ„†‡ˆ‰Š‹ŒŽ•˜™š›œžŸ—…][a-z]|(?<![\\wÀ-ÿ‚])[‚ƒˆŠ][a-z]|[a-z][‚ƒˆŠ—](?![\\wÀ-ÿ\\n])",  # DOS letters as cp1252
 )
 GARBLED = re.compile("|".join(f"(?:{p})" for p in PARTS))
 #: A page without any of these can't match GARBLED: a cheap necessary condition, tried first.
-_SUSPECT_CHARS = "�" + "".join(map(chr, range(0x80, 0xA0))) + _W1252.replace(" ", "") + _W1256 + "√ÿŸ≈╪┘┌┤┬├╬┼ΓïÂÃØÙÚÛÅâپٹچژڈڑں‚ƒˆŠ—…¬"
-SUSPECT = re.compile(_class(_SUSPECT_CHARS) + "|أ[ھ\\u00a0]|[أآ][«»]|[À-ÿ][À-ÿ¡¿]|[طظأآ][’‘“”–—…°¬]")
+_SUSPECT_CHARS = "�" + "".join(map(chr, range(0x80, 0xA0))) + _W1252.replace(" ", "") + _W1256 + "√ÿŸ≈∫∏≥≤∞Ω╪┘┌┤┬├╬┼ΓïÂÃØÙÚÛÅâپٹچژڈڑں‚ƒˆŠ—…¬"
+SUSPECT = re.compile(_class(_SUSPECT_CHARS) + "|[أآإ][^\\x00-\\x7f]?[A-Za-z]|أ[ھ\\u00a0]|[أآ][«»]|آ[°±§©÷£]|[À-ÿ][À-ÿ¡¿]|[طظأآ][’‘“”–—…°¬]")
 #: French words whose own letters look like the last two patterns.
 _GENUINE = re.compile("œ|Œ")
 

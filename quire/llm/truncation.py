@@ -31,7 +31,7 @@ def ending(text: Column, kind: Column) -> Column:
     t = F.regexp_replace(text, r"(?U)\s+$", "")
     last = F.trim(F.element_at(F.split(t, "\n"), -1))
     words = F.size(F.split(last, r"\s+"))
-    closing = (kind == "letter") & (words <= 6) & (last.startswith("—") | last.startswith("- ") | last.rlike(r"^\P{L}*\d{4}\P{L}*$") | last.rlike("^(?:" + "|".join(CLOSINGS) + r")(?=$|[\s,،])"))
+    closing = (kind == "letter") & (words <= 6) & (last.startswith("—") | last.startswith("- ") | last.rlike(r"^\P{L}*\p{Nd}{4}\P{L}*$") | last.rlike("^(?:" + "|".join(CLOSINGS) + r")(?=$|[\s,،])"))
     return (
         F.when(text.isNull(), None).when(t.rlike(r"(?U)^\s*$"), "blank").when(F.coalesce(kind.isin("heading", "caption"), F.lit(False)), "complete")
         .when(t.rlike(MARK), "mark").when(t.rlike(TERMINAL), "complete").when(F.coalesce(closing, F.lit(False)), "complete").otherwise("open")

@@ -11,7 +11,7 @@ def test_endings(spark):
         ("Done.", "memoir", "complete"), ("قال؟", "script", "complete"), ("Done. ✅.", "brief", "complete"), ("«Done.»", "brief", "complete"), ("He (left).", None, "complete"),
         ("He le", "memoir", "open"), ("He left,", "memoir", "open"), ("He [...]", "memoir", "mark"), ("He le...", "memoir", "mark"), ("قا�", "letter", "mark"), ("He le…", None, "mark"),
         ("A title", "heading", "complete"), ("A picture", "caption", "complete"), ("", "memoir", "blank"), (" \t\n ", "memoir", "blank"), (None, "memoir", None),
-        ("Text.\n\nYours, A B", "letter", "complete"), ("Text.\n— A B", "letter", "complete"), ("Text.\nA B\n1912", "letter", "complete"), ("Text.\n\nالمخلص فلان", "letter", "complete"),
+        ("Text.\n\nYours, A B", "letter", "complete"), ("Text.\n— A B", "letter", "complete"), ("Text.\nA B\n1912", "letter", "complete"), ("Text.\nA B\n١٩١٢", "letter", "complete"), ("Text.\n\nالمخلص فلان", "letter", "complete"),
         ("Text.\n\nThen he we", "letter", "open"), ("Text.\n— A B", "memoir", "open"),
     ]
     df = spark.createDataFrame([(i, t, k) for i, (t, k, _) in enumerate(cases)], "i int, t string, k string")
