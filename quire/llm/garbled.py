@@ -94,6 +94,8 @@ PARTS = (
     "[طظعغأآإذر]" + _class(_W1256) + "|آ(?:[°±§©÷]|£\\d)",  # UTF-8 as cp1256
     "[طظأآ](?:[’‘“”–—…°¬«»][A-Za-zء-ي]|[پٹچژڈڑں])|[أآ][«»]|[A-Za-z]أ[ھ\\u00a0]|أھ[A-Za-z]|أ\\u00a0",
     "[أآإ][^\\x00-\\x7f\\u200b-\\u200f\\u2060\\ufeff]?[A-Za-z]",  # a Latin letter with the lead of one under cp1256
+    "خ[°-³µ¶¸¹¼-¾]|د[Œ‚ƒ„†‡]|Œ[ª≥øåÇ]",  # Greek under cp1256 and MacRoman
+    "[A-Za-zÀ-ÿ]\\?[a-zà-ÿ]",  # a sign that the wrong code page had no place for
     "[–—][∫∏≥≤∞Ω]|√|[ÿŸ]" + _class(_decode(bytes(range(0x80, 0xC0)), "mac_roman")) + "|‚Ä|≈[A-ZÅôæú]|¬[´ª©∞£±ß®]",  # UTF-8 as MacRoman
     "[╪┘┌┤┬├╬┼]|Γ[ÇöÜ]",  # UTF-8 as a DOS page
     "(?<![A-Za-zÀ-ÿ])[À-ÿ][À-ÿ¡¿]+(?![A-Za-z])",  # Arabic letters as Latin ones
@@ -101,8 +103,8 @@ PARTS = (
 )
 GARBLED = re.compile("|".join(f"(?:{p})" for p in PARTS))
 #: A page without any of these can't match GARBLED: a cheap necessary condition, tried first.
-_SUSPECT_CHARS = "�" + "".join(map(chr, range(0x80, 0xA0))) + _W1252.replace(" ", "") + _W1256 + "√ÿŸ≈∫∏≥≤∞Ω╪┘┌┤┬├╬┼ΓïÂÃØÙÚÛÅâپٹچژڈڑں‚ƒˆŠ—…¬"
-SUSPECT = re.compile(_class(_SUSPECT_CHARS) + "|[أآإ][^\\x00-\\x7f]?[A-Za-z]|أ[ھ\\u00a0]|[أآ][«»]|آ[°±§©÷£]|[À-ÿ][À-ÿ¡¿]|[طظأآ][’‘“”–—…°¬]")
+_SUSPECT_CHARS = "�" + "".join(map(chr, range(0x80, 0xA0))) + _W1252.replace(" ", "") + _W1256 + "√ÿŸ≈∫∏≥≤∞ΩŒ³²¹°╪┘┌┤┬├╬┼ΓïÂÃØÙÚÛÅâپٹچژڈڑں‚ƒˆŠ—…¬"
+SUSPECT = re.compile(_class(_SUSPECT_CHARS) + "|[A-Za-zÀ-ÿ]\\?[a-zà-ÿ]|[أآإ][^\\x00-\\x7f]?[A-Za-z]|أ[ھ\\u00a0]|[أآ][«»]|آ[°±§©÷£]|[À-ÿ][À-ÿ¡¿]|[طظأآ][’‘“”–—…°¬]")
 #: French words whose own letters look like the last two patterns.
 _GENUINE = re.compile("œ|Œ")
 
