@@ -99,25 +99,15 @@ PARTS = (
     "[–—][∫∏≥≤∞Ω]|√|[ÿŸ]" + _class(_decode(bytes(range(0x80, 0xC0)), "mac_roman")) + "|‚Ä|≈[A-ZÅôæú]|¬[´ª©∞£±ß®]",  # UTF-8 as MacRoman
     "[╪┘┌┤┬├╬┼]|Γ[ÇöÜ]",  # UTF-8 as a DOS page
     "(?<![A-Za-zÀ-ÿ])[À-ÿ][À-ÿ¡¿]+(?![A-Za-z])",  # Arabic letters as Latin ones
-    "[A-Za-zÀ-ÿ][‚ƒ„†‡ˆ‰Š‹ŒŽ•˜™š›œžŸ—…][a-z]|(?<![\\wÀ-ÿ‚])[‚ƒˆŠ][a-z]|[a-z][‚ƒˆŠ—](?![\\wÀ-ÿ\\n])",  # DOS letters as cp1252
+    "[A-Za-zÀ-ÿ][‚ƒ„†‡ˆ‰Š‹Ž•˜™š›žŸ—…][a-z]|(?<![\\wÀ-ÿ‚])[‚ƒˆŠ][a-z]|[a-z][‚ƒˆŠ—](?![\\wÀ-ÿ\\n])",  # DOS letters as cp1252
 )
 GARBLED = re.compile("|".join(f"(?:{p})" for p in PARTS))
 #: A page without any of these can't match GARBLED: a cheap necessary condition, tried first.
 _SUSPECT_CHARS = "�" + "".join(map(chr, range(0x80, 0xA0))) + _W1252.replace(" ", "") + _W1256 + "√ÿŸ≈∫∏≥≤∞ΩŒ³²¹°╪┘┌┤┬├╬┼ΓïÂÃØÙÚÛÅâپٹچژڈڑں‚ƒˆŠ—…¬"
 SUSPECT = re.compile(_class(_SUSPECT_CHARS) + "|[A-Za-zÀ-ÿ]\\?[a-zà-ÿ]|[أآإ][^\\x00-\\x7f]?[A-Za-z]|أ[ھ\\u00a0]|[أآ][«»]|آ[°±§©÷£]|[À-ÿ][À-ÿ¡¿]|[طظأآ][’‘“”–—…°¬]")
-#: French words whose own letters look like the last two patterns.
-_GENUINE = re.compile("œ|Œ")
-
-
-def _real(m: re.Match) -> bool:
-    return not (_GENUINE.search(m.group()) and m.group()[0].isascii() and m.group()[-1].isascii() and m.group()[-1].isalpha())
-
-
 def is_garbled(text: str | None) -> bool:
     """Whether ``text`` has any sequence that a wrong decoding leaves; None and "" have none."""
-    if not text or text.isascii() or not SUSPECT.search(text):
-        return False
-    return any(_real(m) for m in GARBLED.finditer(text))
+    return bool(text) and SUSPECT.search(text) is not None and GARBLED.search(text) is not None
 
 
 _TOKEN = re.compile(r"[^ \t\n]+")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from . import confusables, garbled, truncation
+
 _MARKS = "[\\x{0610}-\\x{061A}\\x{0640}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E8}\\x{06EA}-\\x{06ED}]"
 
 _P1 = """
@@ -43,5 +47,44 @@ ig AS (SELECT DISTINCT item_id, hash(w[s : s + 11]) AS g FROM (SELECT item_id, w
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
 
+
+
+def _re2(pattern: str) -> str:
+    """A pattern as RE2 and SQL take it; the lookarounds of the garbled sequences as a neighbour or an end."""
+    for a, b in (
+        ("(?<![A-Za-zÀ-ÿ])", "(?:^|[^A-Za-zÀ-ÿ])"), ("(?![A-Za-z])", "(?:[^A-Za-z]|$)"), ("(?<![\\wÀ-ÿ‚])", "(?:^|[^\\p{L}\\p{N}_‚])"), ("(?![\\wÀ-ÿ\\n])", "(?:[^\\p{L}\\p{N}_\\n]|$)"),
+    ):
+        pattern = pattern.replace(a, b)
+    pattern = re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", pattern)
+    pattern = "".join(c if c.isprintable() else f"\\x{{{ord(c):04x}}}" for c in pattern)
+    return pattern.replace("'", "''")
+
+
+_GARBLED = " OR ".join(f"regexp_matches(coalesce(raw_text, ''), '{_re2(p)}')" for p in garbled.PARTS)
+_P4 = f"SELECT DISTINCT book_id, page_no FROM page WHERE {_GARBLED}"
+_VARIANT = "(" + " OR ".join([*(f"regexp_matches({{0}}, '{_re2(p.pattern)}')" for _, p in confusables._KINDS), "nfc_normalize({0}) <> {0}"]) + ")"
+
+
+def _variant(column: str) -> str:
+    return _VARIANT.replace("{0}", column)
+
+
+_P6 = f"""
+SELECT DISTINCT 'page' AS record_type, book_id, page_no AS item_no FROM page WHERE raw_text IS NOT NULL AND {_variant('raw_text')} AND NOT ({_GARBLED})
+UNION ALL SELECT DISTINCT 'chunk', book_id, chunk_id FROM chunk WHERE text IS NOT NULL AND {_variant('text')}"""
+
+_SPACE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_P10 = f"""
+WITH t AS (SELECT DISTINCT doc_id, kind, text, regexp_replace(text, '{_SPACE}+$', '') AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, trim(string_split(t, chr(10))[-1]) AS last FROM t),
+e AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN kind IN ('heading', 'caption') THEN 'complete' WHEN regexp_matches(t, '{_re2(truncation.MARK)}') THEN 'mark'
+  WHEN regexp_matches(t, '{_re2(truncation.TERMINAL)}') THEN 'complete'
+  WHEN kind = 'letter' AND len(string_split_regex(last, '\\s+')) <= 6 AND (starts_with(last, '—') OR starts_with(last, '- ') OR regexp_matches(last, '^\\P{{L}}*\\p{{Nd}}{{4}}\\P{{L}}*$')
+    OR regexp_matches(last, '^(?:{"|".join(truncation.CLOSINGS)})(?:$|[\\s,،])')) THEN 'complete' ELSE 'open' END AS evidence FROM l),
+inside AS (SELECT DISTINCT a.doc_id FROM e a JOIN t b ON left(a.t, 16) = left(b.text, 16) AND a.doc_id <> b.doc_id AND length(a.t) >= 16 AND length(b.text) > length(a.t) AND starts_with(b.text, a.t)
+  WHERE a.kind = 'letter' AND a.evidence = 'complete' AND regexp_matches(a.text, '[\\p{{L}}\\p{{N}}]$') AND regexp_matches(b.text[length(a.t) + 1], '[\\p{{L}}\\p{{N}}]'))
+SELECT doc_id FROM e WHERE evidence IN ('mark', 'open') UNION SELECT doc_id FROM inside"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p7_found": _P7, "p9_found": _P9}
+    return {"p1_found": _P1, "p3_found": _P3, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7, "p9_found": _P9, "p10_found": _P10}
