@@ -181,6 +181,6 @@ def render_jobs(shots: DataFrame, fps: int = 25) -> DataFrame:
 def ken_burns_effects(shots: DataFrame) -> DataFrame:
     """Effects in turn by a clip's place, and the grade of its section: ``(plan_id, shot_no, effect, grade)``."""
     k = F.row_number().over(Window.partitionBy("plan_id").orderBy("start", "shot_no")) - 1
-    effect = F.element_at(F.array(*map(F.lit, ("zoom_in", "zoom_out", "pan_left", "pan_right"))), (k % 4 + 1).cast("int"))
+    effect = F.element_at(F.array(*map(F.lit, ("zoom_in", "zoom_out", "pan_right", "pan_left"))), (k % 4 + 1).cast("int"))
     grade = F.when(F.col("section_id") == "opening", "warm").when(F.col("section_id") == "closing", "cool").otherwise("neutral")
     return shots.select("plan_id", "shot_no", effect.alias("effect"), grade.alias("grade"))

@@ -184,7 +184,7 @@ SELECT sha256(query)[:16] AS query_hash, query, coalesce(n.best, o.best) AS best
 SELECT plan_id, shot_no, CASE WHEN typo THEN 'card' ELSE 'image' END AS asset, CASE WHEN visual IN ('title_card', 'section_mark', 'chapter_heading') THEN visual WHEN visual = 'typography' THEN coalesce(nullif(typography_template, ''), 'statement') END AS template,
   f AS frames, CASE WHEN NOT typo THEN CASE motion WHEN 'zoom_in' THEN 'min(pzoom+' || {_rate(0.08)} || ',1.08)' WHEN 'zoom_out' THEN 'if(lte(on,1),1.08,max(1.0,pzoom-' || {_rate(0.08)} || '))'
   WHEN 'fast_push' THEN 'min(pzoom+' || {_rate(0.20)} || ',1.20)' WHEN 'pan_right' THEN '1.10' WHEN 'pan_left' THEN '1.10' WHEN 'ken_burns' THEN 'min(pzoom+' || {_rate(0.12)} || ',1.12)' END END AS zoom FROM x""",
-    "ken_burns": f"""SELECT plan_id, shot_no, ['zoom_in', 'zoom_out', 'pan_left', 'pan_right'][(row_number() OVER (PARTITION BY plan_id ORDER BY start, shot_no) - 1) % 4 + 1] AS effect,
+    "ken_burns": f"""SELECT plan_id, shot_no, ['zoom_in', 'zoom_out', 'pan_right', 'pan_left'][(row_number() OVER (PARTITION BY plan_id ORDER BY start, shot_no) - 1) % 4 + 1] AS effect,
   CASE section_id WHEN 'opening' THEN 'warm' WHEN 'closing' THEN 'cool' ELSE 'neutral' END AS grade FROM {SHOTS} WHERE start IS NOT NULL""",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}
