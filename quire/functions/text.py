@@ -90,7 +90,7 @@ def inline_numbers(c: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A line of 4 to 60 characters (white space at its end aside) without sentence punctuation."""
-    return ~line.rlike("[.،؛؟!]") & line.rlike(f"^.{{4,60}}{WS}*$")
+    return ~line.rlike("[.،؛؟!]") & line.rlike(f"(?d)^.{{4,60}}{WS}*$")
 
 
 def ends_sentence(c: Column) -> Column:

@@ -13,7 +13,7 @@ def plan_stats(shots: DataFrame) -> DataFrame:
     d = F.col("end") - F.col("start")
     at = F.col("shot_no")
     return shots.where("start IS NOT NULL AND `end` IS NOT NULL").groupBy("plan_id").agg(
-        F.count("*").alias("n"), F.min_by("start", at).alias("plan_start"), F.max_by("end", at).alias("plan_end"), F.round(F.sum(d), 4).alias("total"), F.round(F.avg(d), 6).alias("avg"),
+        F.count("*").alias("n"), F.min_by("start", at).alias("plan_start"), F.max_by("end", at).alias("plan_end"), F.round(F.sum(d), 4).alias("total"), F.round(F.avg(d), 9).alias("avg"),
         F.round(F.min(d), 6).alias("shortest"), F.round(F.max(d), 6).alias("longest"),
     )
 

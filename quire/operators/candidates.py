@@ -156,14 +156,16 @@ def quality_gate(scripts: DataFrame) -> DataFrame:
 
 
 def motion(name: Column, frames: Column) -> Column:
-    """The zoom expression of a motion over so many frames."""
+    """The zoom expression of a motion over so many frames.
+
+    Halves of the last digit fall as the rate's binary value does: 0.12 is a little below, the others above their decimals."""
     rate = lambda r: F.format_string("%.6f", F.lit(r) / frames)
     return (
         F.when(name == "zoom_in", F.concat(F.lit("min(pzoom+"), rate(0.08), F.lit(",1.08)")))
         .when(name == "zoom_out", F.concat(F.lit("if(lte(on,1),1.08,max(1.0,pzoom-"), rate(0.08), F.lit("))")))
         .when(name == "fast_push", F.concat(F.lit("min(pzoom+"), rate(0.20), F.lit(",1.20)")))
         .when(name.isin("pan_right", "pan_left"), "1.10")
-        .when(name == "ken_burns", F.concat(F.lit("min(pzoom+"), rate(0.12), F.lit(",1.12)")))
+        .when(name == "ken_burns", F.concat(F.lit("min(pzoom+"), rate(0.12 - 1e-12), F.lit(",1.12)")))
     )
 
 

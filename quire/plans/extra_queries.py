@@ -139,7 +139,7 @@ def section_clips(s, d):
         F.round(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"), F.count_if(F.col("visual").isin(*C_IMAGES)).alias("n_images"), F.count_if(F.col("visual") == "map").alias("n_clips")
     )
     kind = F.when(F.col("n_images") > 0, "images").when(F.col("n_clips") > 0, "clip").otherwise("frame")
-    return x.select("plan_id", "section_id", kind.alias("kind"), F.round(F.when(F.col("n_images") > 0, F.greatest(F.lit(8.0), F.col("seconds") / F.col("n_images"))).otherwise(F.col("seconds")), 4).alias("each"))
+    return x.select("plan_id", "section_id", kind.alias("kind"), F.round(F.when(F.col("n_images") > 0, F.greatest(F.lit(8.0), F.col("seconds") / F.col("n_images"))).otherwise(F.col("seconds")), 9).alias("each"))
 
 
 C_IMAGES = ("portrait", "location", "object", "archive", "broll")
@@ -205,7 +205,7 @@ QUALIFY row_number() OVER (PARTITION BY query ORDER BY ord) <= 5""",
 SELECT shot_no, clip, arg_min(c.ord, {{'a': abs(width - 1280), 'b': c.ord}}) AS file FROM f JOIN cand c USING (shot_no) WHERE c.ord % 5 = clip % 5 AND width > 0 GROUP BY shot_no, clip""",
     "download_filter": "SELECT doc_id, CASE WHEN strlen(text) >= 1024 THEN CAST(strlen(text) AS INTEGER) END AS bytes FROM documents",
     "section_clips": f"""WITH x AS (SELECT plan_id, section_id, round(sum("end" - start), 3) AS seconds, count(*) FILTER (visual IN ('portrait', 'location', 'object', 'archive', 'broll')) AS ni, count(*) FILTER (visual = 'map') AS nc FROM {SHOTS} WHERE start IS NOT NULL AND "end" > start GROUP BY ALL)
-SELECT plan_id, section_id, CASE WHEN ni > 0 THEN 'images' WHEN nc > 0 THEN 'clip' ELSE 'frame' END AS kind, round(CASE WHEN ni > 0 THEN greatest(8.0, seconds / ni) ELSE seconds END, 4) AS "each" FROM x""",
+SELECT plan_id, section_id, CASE WHEN ni > 0 THEN 'images' WHEN nc > 0 THEN 'clip' ELSE 'frame' END AS kind, round(CASE WHEN ni > 0 THEN greatest(8.0, seconds / ni) ELSE seconds END, 9) AS "each" FROM x""",
     "plan_round_trip": f"""SELECT plan_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY shot_no) AS INTEGER) AS shot_no, coalesce(start, 0.0) AS start, coalesce("end", 0.0) AS "end", coalesce(visual, 'archive') AS visual, coalesce(search_query, '') AS search_query,
   'any' AS source_hint, coalesce(motion, 'static') AS motion, coalesce(show_caption, true) AS show_caption, '' AS note, coalesce(section_id, '') AS section_id FROM {SHOTS}""",
     "span_lines": f"""

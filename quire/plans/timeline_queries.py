@@ -92,7 +92,7 @@ def ass_events(s, d):
 def caption_timeline(s, d):
     b = tables.chunks(s, d).where("text IS NOT NULL").select("book_id", "chunk_id", F.posexplode(T.captions(F.col("text"))).alias("ord", "c"))
     b = b.select(F.concat_ws("/", "book_id", F.col("chunk_id").cast("string")).alias("id"), "ord", T.n_words(F.col("c")).alias("n_words"), F.lit(7.5).alias("from"), F.lit(120.0).alias("to"))
-    return L.caption_budget(b, "id").select("id", "ord", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return L.caption_budget(b, "id").select("id", "ord", F.round("start", 9).alias("start"), F.round("end", 9).alias("end"))
 
 
 def overlay_cursor(s, d):
@@ -260,7 +260,7 @@ r AS (SELECT id, 'title' AS kind, 0 AS ord, 0.0::DOUBLE AS s, 5.0::DOUBLE AS e F
   UNION ALL SELECT id, 'phrase', CAST(k AS INTEGER), t1 + k * 3.5, least(t1 + (k + 1) * 3.5, seconds - 0.5) FROM (SELECT *, unnest(range(0, np)) AS k FROM j))
 SELECT id, kind, ord, round(s, 4) AS start, round(e, 4) AS "end" FROM r WHERE e > s""",
     "fade_offsets": f"WITH {_S} SELECT plan_id, shot_no, round(sum(\"end\" - start - 0.5) OVER (PARTITION BY plan_id ORDER BY start, shot_no ROWS UNBOUNDED PRECEDING), 4) AS \"offset\" FROM sh",
-    "plan_stats": f"""WITH {_S} SELECT plan_id, count(*) AS n, arg_min(start, shot_no) AS plan_start, arg_max("end", shot_no) AS plan_end, round(sum("end" - start), 4) AS total, round(avg("end" - start), 6) AS avg,
+    "plan_stats": f"""WITH {_S} SELECT plan_id, count(*) AS n, arg_min(start, shot_no) AS plan_start, arg_max("end", shot_no) AS plan_end, round(sum("end" - start), 4) AS total, round(avg("end" - start), 9) AS avg,
   round(min("end" - start), 6) AS shortest, round(max("end" - start), 6) AS longest FROM sh GROUP BY plan_id""",
     "gap_overlap_audit": f"""WITH {_S}, x AS (SELECT plan_id, lead(start) OVER (PARTITION BY plan_id ORDER BY shot_no) - "end" AS d FROM sh)
 SELECT plan_id, count(*) FILTER (d > 0.05) AS n_gaps, count(*) FILTER (d < -0.05) AS n_overlaps, round(coalesce(sum(d) FILTER (d > 0.05), 0.0), 4) AS gap, round(coalesce(sum(-d) FILTER (d < -0.05), 0.0), 4) AS overlap FROM x GROUP BY plan_id""",
@@ -284,6 +284,6 @@ FROM sh WHERE visual IS NOT NULL AND visual NOT IN ('title_card', 'section_mark'
     "caption_timeline": f"""WITH {_blocks()}, r AS (WITH RECURSIVE r AS (SELECT id, ord, rn, n, total, 7.5::DOUBLE AS s, greatest(least(7.5 + greatest(2.0::DOUBLE, 112.5::DOUBLE * n / total) - 0.08, 120.0::DOUBLE - 0.08), 7.5 + 2.0) AS e FROM b2 WHERE rn = 1
   UNION ALL SELECT x.id, x.ord, x.rn, x.n, x.total, r.e + 0.08, greatest(least(r.e + 0.08 + greatest(2.0::DOUBLE, 112.5::DOUBLE * x.n / x.total) - 0.08, 120.0::DOUBLE - 0.08), r.e + 0.08 + 2.0)
   FROM r JOIN b2 x ON x.id = r.id AND x.rn = r.rn + 1 WHERE r.e + 0.08 < 120.0) SELECT * FROM r)
-SELECT id, ord, round(s, 6) AS start, round(e, 6) AS "end" FROM r""",
+SELECT id, ord, round(s, 9) AS start, round(e, 9) AS "end" FROM r""",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}
