@@ -4,6 +4,9 @@ Texts are cut into words by the vocabulary's own pattern; each distinct word of
 byte-length bucket form a padded matrix of token ids. Each round looks all adjacent pairs up in a hash table and merges,
 in every row, the leftmost pair of minimum rank; rows are then compacted. Rows without a mergeable pair leave the matrix.
 
+Words of ``LONG`` bytes and more (a page of one letter, a megabyte of spaces) are merged with a heap of pairs instead, in the
+same order - least rank first, leftmost of equal ones - so that no word takes time by the square of its length.
+
 The vocabulary file's path is a parameter; the file is read by each worker and never copied. Encoding is per row, without
 any shuffle; a text of any length is one row, and its words are the only thing that is held.
 """
@@ -11,6 +14,7 @@ any shuffle; a text of any length is one row, and its words are the only thing t
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +29,8 @@ FOLDER = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids a worker keeps between batches; beyond it the store is emptied. Results don't depend on it.
 KEEP_WORDS = 200_000
+#: Bytes from which a word is merged by itself with a heap: rounds over a row take time by the square of its length.
+LONG = 1024
 #: Cells of one padded matrix, which bounds memory for words of any length.
 CELLS = 1 << 20
 
@@ -92,6 +98,7 @@ class BytePairs:
                     right.append(b)
                     merged.append(rank)
         self.table = PairTable(np.array(left), np.array(right), np.array(merged, np.int32))
+        self.pairs = dict(zip(zip(left, right, strict=True), merged, strict=True))
         self.known: dict[str, np.ndarray] = {}
 
     def _matrix(self, rows: list[bytes]) -> list[np.ndarray]:
@@ -124,6 +131,29 @@ class BytePairs:
             m = m[:, : max(1, int((m >= 0).sum(1).max()))]
         return out
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: a linked list of tokens and a heap of (rank, place) of its pairs."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n, pairs = len(ids), self.pairs
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = nxt[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j], k = r, -1, nxt[j]
+            nxt[i] = k
+            if k < n:
+                prv[k] = i
+                if (q := pairs.get((r, ids[k]))) is not None:
+                    heapq.heappush(heap, (q, i, r, ids[k]))
+            h = prv[i]
+            if h >= 0 and (q := pairs.get((ids[h], r))) is not None:
+                heapq.heappush(heap, (q, h, ids[h], r))
+        return np.array([x for x in ids if x >= 0], np.int32)
+
     def words(self, words: list[str]) -> None:
         """Put the ids of ``words`` into the store."""
         new = [w for w in set(words) if w not in self.known]
@@ -131,6 +161,9 @@ class BytePairs:
             self.known.clear()
             new = list(set(words))
         raw = sorted(((w.encode("utf-8", "replace"), w) for w in new), key=lambda x: len(x[0]))
+        while raw and len(raw[-1][0]) >= LONG:
+            x, w = raw.pop()
+            self.known[w] = self._long(x)
         i = 0
         while i < len(raw):
             width = 1 << (len(raw[i][0]) - 1).bit_length()  # bucket of lengths up to the next power of two

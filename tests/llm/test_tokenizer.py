@@ -26,6 +26,14 @@ def test_equals_the_library(reference, t):
         assert load(PATH).encode([t])[0].tolist() == reference.encode_ordinary(t)
 
 
+def test_long_words(reference):
+    import random
+
+    rng = random.Random(1)
+    for t in ("a" * 3000, "ab" * 2000, " " * 50_000 + "x", "".join(rng.choice("abcdeihnrst") for _ in range(20_000)), "".join(rng.choice("الملوي") for _ in range(5000)), "=" * 4000):
+        assert load(PATH).encode([t])[0].tolist() == reference.encode_ordinary(t)
+
+
 def test_operator(spark, reference):
     texts = [None, "", "Hello  world", "a" * 5000, "<|endoftext|>", "كان يا ما كان", "Hello  world"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
