@@ -30,10 +30,9 @@ def gaps_overlaps(shots: DataFrame, slack: float = 0.05) -> DataFrame:
 def histogram(shots: DataFrame, column: str) -> DataFrame:
     """``(value, n, share, rank)`` of a column, the commonest first, of equally common ones the first seen (by plan and shot)."""
     g = shots.groupBy(F.coalesce(column, F.lit("(unknown)")).alias("value")).agg(F.count("*").alias("n"), F.min(F.struct("plan_id", "shot_no")).alias("first"))
-    total = shots.agg(F.count("*").alias("all"))
-    x = g.crossJoin(F.broadcast(total))  # one row
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "first"))  # as many rows as kinds of value
-    return x.select("value", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"), rank.alias("rank"))
+    few = Window.partitionBy(F.lit(1))  # as many rows as kinds of value
+    rank = F.row_number().over(few.orderBy(F.desc("n"), "first"))
+    return g.select("value", "n", F.round(F.col("n") / F.sum("n").over(few), 6).alias("share"), rank.alias("rank"))
 
 
 def split_fragments(shots: DataFrame) -> DataFrame:

@@ -39,6 +39,6 @@ def test_coverage_against_brute_force(spark):
 
 
 def test_shots_empty_and_rounding(spark):
-    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.05, 2.0), ("a", 2.0511, 3.0), ("a", float("nan"), 9.0)], "plan_id string, start double, end double")
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.05, 2.0), ("a", 2.0511, 3.0), ("a", float("nan"), 9.0), ("a", 1.0, float("inf")), ("a", float("-inf"), 2.0), (None, 1.0, 2.0), ("a", None, 1.0)], "plan_id string, start double, end double")
     assert sorted(map(tuple, shot_coverage(df).collect())) == [("a", "gap", 2000, 2051), ("a", "period", 0, 2000), ("a", "period", 2051, 3000)]
     assert shot_coverage(df.limit(0)).collect() == []
