@@ -114,7 +114,7 @@ _TOKEN = re.compile(r"[^ \t\n]+")
 
 
 #: What a token can decode to: Latin, Greek, Cyrillic and Arabic letters, marks, signs and what garbles them again.
-_PLAUSIBLE = re.compile("[\\x20-\\x7e\\u0080-\\u036f\\u0370-\\u052f\\u0600-\\u06ff\\u2000-\\u22ff\\u2300-\\u25ff\\ufb00-\\ufdff\\ufe70-\\uffee]+")
+_PLAUSIBLE = re.compile("[\\x20-\\x7e\\u0080-\\u017f\\u0192\\u02c6\\u02dc\\u0384-\\u03ff\\u0400-\\u045f\\u060c-\\u06ff\\u2010-\\u22ff\\u2310-\\u25ff\\ufb00-\\ufdff\\ufe70-\\uffee]+")
 
 
 def _undo_wide(token: str) -> str | None:
@@ -188,7 +188,7 @@ def fit_cipher(seen: list[str], counts: np.ndarray, joint: np.ndarray, start: di
 
     ``counts[i, j]``: how often ``seen[i]`` is followed by ``seen[j]``. Model: the letters follow ``joint``, each letter
     shows as a character by p(seen | letter). ``start`` gives the pseudo-counts of a known swap, ASCII stands for itself.
-    Characters for which no letter gains a clear posterior stay with ``start``.
+    Characters for which no letter gains a clear posterior, or seen less than 30 times, stay with ``start``.
     """
     x = len(seen)
     alpha = np.full((N, x), 0.01)
@@ -206,12 +206,15 @@ def fit_cipher(seen: list[str], counts: np.ndarray, joint: np.ndarray, start: di
         e /= e.sum(1, keepdims=True)
     post = e * joint.sum(1, keepdims=True)
     post /= np.maximum(post.sum(0, keepdims=True), 1e-300)
-    out = {}
+    out, often = dict(start), counts.sum(1)
     for j, c in enumerate(seen):
-        i = int(post[:, j].argmax())
-        if not c.isascii() and i > 0 and post[i, j] > 0.5:
+        i, known = int(post[:, j].argmax()), start.get(c)
+        # marks that the model has no letter for stay; a known swap gives way to what was learnt from enough text only
+        if known is not None and (len(known) != 1 or _INDEX[ord(known)] == 0 or often[j] < 30):
+            continue
+        if c.isalpha() and not c.isascii() and i > 0 and post[i, j] > 0.5:
             out[c] = _LETTERS[i - 1]
-    return {c: m for c, m in (start | {c: m for c, m in out.items() if c not in start or len(start[c]) != 1 or not start[c].isalpha()}).items()}
+    return out
 
 
 def _narrow_tokens(text: str) -> list[str]:
