@@ -64,6 +64,19 @@ def caption_density(s, d):
     return t(s, d, "events").where("value IS NOT NULL").select("event_id", L.is_caption_density(F.col("value") / 100).alias("is_text"))
 
 
+def _line_runs(s, d):
+    """Line runs and rules stand-in: each non-blank line of a page is a run of its place and length, a line of signs a rule."""
+    x = tables.pages(s, d).where("raw_text IS NOT NULL").select("book_id", "page_no", F.split("raw_text", "\n").alias("ls")).select("book_id", "page_no", (F.size("ls") * 40 + 10).alias("height"), F.posexplode("ls").alias("i", "line"))
+    x = x.withColumn("t", F.trim("line")).where("t <> ''").withColumn("y0", F.col("i") * 40).withColumn("rule", F.col("t").rlike("^[_=]+$"))
+    tall = F.when((F.col("i") == 0) & (F.col("page_no") % 2 == 0), 2).otherwise(18)
+    runs = x.where("NOT rule").select("book_id", "page_no", "height", "y0", (F.col("y0") + tall).alias("y1"), F.least(F.lit(1.0), F.length("t") / 60.0).alias("width_frac"))
+    return runs, x.where("rule").select("book_id", "page_no", (F.col("y0") + 9).alias("y"))
+
+
+def run_margins(s, d):
+    return L.margins(*_line_runs(s, d))
+
+
 def page_margins(s, d):
     """Margins of every page's drawn image."""
     images = R.drawn_pages(tables.pages(s, d).where("raw_text IS NOT NULL"))
@@ -92,6 +105,28 @@ SELECT page, y0, y1, (y0 + y1) // 2 AS y_mid FROM c WHERE y1 - y0 + 1 <= 12""",
     "caption_reach": f"""WITH {_B} SELECT p.book_id, p.ord, CAST(min(least(1400, p.y + p.h + 600, CASE WHEN o.ord <> p.ord AND greatest(0, least(o.x + o.w, p.x + p.w) - greatest(o.x, p.x)) >= least(o.w, p.w) * CAST(0.2 AS DOUBLE)
   AND o.y > p.y + p.h THEN o.y END)) AS INTEGER) AS until FROM p LEFT JOIN p o ON p.book_id = o.book_id GROUP BY p.book_id, p.ord""",
     "padded_boxes": f"WITH {_B} SELECT book_id, ord, greatest(0, x - 10) AS x0, greatest(0, y - 10) AS y0, least(width, x + w + 10) AS x1, least(height, y + h + 10) AS y1 FROM p",
+    "run_margins": """
+WITH p AS (SELECT DISTINCT book_id, page_no, string_split(raw_text, chr(10)) AS ls FROM page WHERE raw_text IS NOT NULL),
+x AS (SELECT book_id, page_no, CAST(len(ls) * 40 + 10 AS INTEGER) AS height, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS i FROM p),
+l AS (SELECT *, trim(line) AS t, i * 40 AS y0, regexp_matches(trim(line), '^[_=]+$') AS rule FROM x WHERE trim(line) <> ''),
+r AS (SELECT book_id, page_no, height, y0, y0 + CASE WHEN i = 0 AND page_no % 2 = 0 THEN 2 ELSE 18 END AS y1, least(1.0::DOUBLE, length(t) / 60.0::DOUBLE) AS wf FROM l WHERE NOT rule),
+a AS (SELECT * FROM r WHERE NOT ((y0 <= 2 OR y1 >= height - 3) AND y1 - y0 + 1 <= greatest(3, floor(height * CAST(0.012 AS DOUBLE))))),
+b AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY book_id, page_no) AS n, lead(y0) OVER w - y1 AS gap, y0 - lag(y1) OVER w AS gb FROM a WINDOW w AS (PARTITION BY book_id, page_no ORDER BY y0)),
+m AS (SELECT book_id, page_no, list_sort(list(gap) FILTER (gap IS NOT NULL))[len(list(gap) FILTER (gap IS NOT NULL)) // 2 + 1] AS gaps, list_sort(list(wf))[len(list(wf)) // 2 + 1] AS mw FROM b GROUP BY ALL),
+c AS (SELECT b.*, CASE WHEN n >= 3 THEN gaps ELSE greatest(8, floor(height * CAST(0.012 AS DOUBLE))) END AS mg, wf < mw * CAST(0.6 AS DOUBLE) OR y1 - y0 + 1 < floor(height * CAST(0.04 AS DOUBLE)) AS small FROM b JOIN m USING (book_id, page_no)),
+d AS (SELECT *, i = 1 AND y0 <= floor(height * CAST(0.12 AS DOUBLE)) AND small AND coalesce(gap, height) >= greatest(floor(mg * CAST(0.6 AS DOUBLE)), 20) AS head FROM c),
+e AS (SELECT *, max(y0) FILTER (head) OVER (PARTITION BY book_id, page_no) AS header0, max(y1) FILTER (head) OVER (PARTITION BY book_id, page_no) AS header1 FROM d),
+f AS (SELECT *, count(*) OVER (PARTITION BY book_id, page_no) AS m, row_number() OVER (PARTITION BY book_id, page_no ORDER BY y0) AS j FROM e WHERE NOT head),
+g AS (SELECT *, j = m AND y1 >= floor(height * (1 - CAST(0.12 AS DOUBLE))) AND small AND coalesce(CASE WHEN m >= 2 THEN gb END, height) >= greatest(floor(mg * CAST(0.6 AS DOUBLE)), 20) AS foot FROM f),
+t AS (SELECT book_id, page_no, max(height) AS height, max(header0) AS header0, max(header1) AS header1, min(y0) AS first_y, max(y1) AS last_y, max(y1) FILTER (NOT foot) AS last_body, max(y0) FILTER (foot) AS f0, max(y1) FILTER (foot) AS f1 FROM g GROUP BY ALL),
+u AS (SELECT l.book_id, l.page_no, l.y0 + 9 AS y FROM l JOIN t USING (book_id, page_no) WHERE rule AND l.y0 + 9 > coalesce(header1, first_y) + greatest(floor(t.height * CAST(0.05 AS DOUBLE)), 50)),
+v AS (SELECT u.book_id, u.page_no, u.y FROM u JOIN g ON g.book_id = u.book_id AND g.page_no = u.page_no AND g.y1 < u.y GROUP BY ALL HAVING count(*) >= 2),
+k AS (SELECT t.*, rule_y, CASE WHEN rule_y IS NULL THEN f0 END AS footer0, CASE WHEN rule_y IS NULL THEN f1 END AS footer1 FROM t LEFT JOIN (SELECT book_id, page_no, min(y) AS rule_y FROM v GROUP BY ALL) USING (book_id, page_no)),
+q AS (SELECT *, CASE WHEN footer0 IS NOT NULL THEN coalesce(last_body, height - 1) ELSE last_y END AS last_row, CASE WHEN footer0 IS NOT NULL AND last_body IS NULL THEN 0 ELSE first_y END AS first_row FROM k),
+z AS (SELECT *, greatest(coalesce(header1 + 4, 0), first_row - 20) AS keep_top, CASE WHEN rule_y IS NOT NULL THEN greatest(0, rule_y - 8) WHEN footer0 IS NOT NULL THEN greatest(0, footer0 - 8) END AS b0,
+  CASE WHEN rule_y IS NOT NULL THEN height - greatest(3, CAST(floor(height * CAST(0.012 AS DOUBLE)) AS BIGINT)) - 1 WHEN footer0 IS NOT NULL THEN least(height - 1, footer1 + 8) END AS b1 FROM q)
+SELECT book_id, page_no, header0, header1, footer0, footer1, rule_y, keep_top, greatest(keep_top + 1, least(coalesce(rule_y - 12, footer0 - 4, height - 1), last_row + 20)) AS keep_bottom,
+  CASE WHEN b1 > b0 THEN b0 END AS band0, CASE WHEN b1 > b0 THEN b1 END AS band1 FROM z""",
     "caption_density": "SELECT event_id, value / 100 > CAST(0.005 AS DOUBLE) AND value / 100 < CAST(0.50 AS DOUBLE) AS is_text FROM events WHERE value IS NOT NULL",
 }
 QUERIES = {k: globals()[k] for k in (*ORACLE, "page_margins", "page_boxes")}
