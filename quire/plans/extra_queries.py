@@ -78,14 +78,14 @@ def section_keyword_join(s, d):
     sec = tables.shots(s, d).select("plan_id", "section_id").where("section_id IS NOT NULL").distinct()
     kw = tables.shots(s, d).where("search_query <> '' AND shot_no % 3 = 0").groupBy("plan_id", "section_id").agg(F.array_sort(F.collect_set("search_query")).alias("keywords"))
     j = sec.join(kw, ["plan_id", "section_id"], "left")
-    return j.select("plan_id", "section_id", F.slice(F.coalesce("keywords", F.array().cast("array<string>")), 1, 4).alias("keywords"))
+    return j.select("plan_id", "section_id", F.array_join(F.slice(F.coalesce("keywords", F.array().cast("array<string>")), 1, 4), "|").alias("keywords"))
 
 
 def fallback_keywords(s, d):
     rows = [(g, w, p) for g, (w, p) in FALLBACK.items()]
     dim = F.broadcast(s.createDataFrame(rows, "genre string, w array<string>, p array<string>"))  # seven rows
     g = s.createDataFrame([(x,) for x in (*FALLBACK, "poetry", None)], "genre string").join(dim, "genre", "left")
-    return g.select("genre", F.coalesce("w", F.array(*map(F.lit, FALLBACK_DEFAULT[0]))).alias("wikimedia"), F.coalesce("p", F.array(*map(F.lit, FALLBACK_DEFAULT[1]))).alias("pexels"))
+    return g.select("genre", F.array_join(F.coalesce("w", F.array(*map(F.lit, FALLBACK_DEFAULT[0]))), " | ").alias("wikimedia"), F.array_join(F.coalesce("p", F.array(*map(F.lit, FALLBACK_DEFAULT[1]))), " | ").alias("pexels"))
 
 
 def positional_zip(s, d):
@@ -189,8 +189,8 @@ SELECT book_id, page_no, CASE WHEN len(vs) = 0 THEN '' ELSE array_to_string(list
     "bundle_estimate": f"SELECT book_id, round(count(*) * 4 * pow(300.0::DOUBLE / 400, 2), 4) AS mb, CAST(greatest(1, ceil(count(*) * 4 * pow(300.0::DOUBLE / 400, 2) / 20)) AS INTEGER) AS parts FROM {PAGES} GROUP BY book_id",
     "page_file_names": f"SELECT book_id, page_no, 'page_' || printf('%03d', page_no) || '.png' AS image, printf('page%02d_fig%02d_caption.png', page_no, page_no % 3) AS figure FROM {PAGES}",
     "section_keyword_join": f"""WITH k AS (SELECT plan_id, section_id, list_sort(list(DISTINCT search_query)) AS kw FROM {SHOTS} WHERE search_query <> '' AND shot_no % 3 = 0 GROUP BY ALL)
-SELECT s.plan_id, s.section_id, coalesce(kw, [])[:4] AS keywords FROM (SELECT DISTINCT plan_id, section_id FROM shot WHERE section_id IS NOT NULL) s LEFT JOIN k USING (plan_id, section_id)""",
-    "fallback_keywords": f"SELECT g.genre, string_split(coalesce(w, '{' | '.join(FALLBACK_DEFAULT[0])}'), ' | ') AS wikimedia, string_split(coalesce(p, '{' | '.join(FALLBACK_DEFAULT[1])}'), ' | ') AS pexels FROM {values([(g,) for g in (*FALLBACK, 'poetry', None)], 'genre')} g LEFT JOIN {values(_GENRES, 'genre, w, p')} f ON g.genre = f.genre",
+SELECT s.plan_id, s.section_id, coalesce(array_to_string(kw[:4], '|'), '') AS keywords FROM (SELECT DISTINCT plan_id, section_id FROM shot WHERE section_id IS NOT NULL) s LEFT JOIN k USING (plan_id, section_id)""",
+    "fallback_keywords": f"SELECT g.genre, coalesce(w, '{' | '.join(FALLBACK_DEFAULT[0])}') AS wikimedia, coalesce(p, '{' | '.join(FALLBACK_DEFAULT[1])}') AS pexels FROM {values([(g,) for g in (*FALLBACK, 'poetry', None)], 'genre')} g LEFT JOIN {values(_GENRES, 'genre, w, p')} f ON g.genre = f.genre",
     "positional_zip": f"""SELECT plan_id, shot_no, chunk_id FROM (SELECT plan_id, book_id, shot_no, row_number() OVER (PARTITION BY plan_id ORDER BY shot_no) AS k FROM {SHOTS})
 JOIN (SELECT book_id, chunk_id, row_number() OVER (PARTITION BY book_id ORDER BY chunk_id) AS k FROM {CHUNKS}) USING (book_id, k)""",
     "corrected_strip": f"""WITH {_CLASSES}, gone AS (SELECT book_id, page_no, list(DISTINCT line_no) AS g FROM cls GROUP BY ALL)

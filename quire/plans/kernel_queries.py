@@ -28,7 +28,7 @@ def ocr_correction(s, d):
 def section_keywords(s, d):
     x = tables.chunks(s, d).where("text IS NOT NULL").select("book_id", "chunk_id", F.substring("text", 1, 400).alias("p"))
     k = K.keywords(F.col("answer"))
-    return K.complete(x, F.col("p"), "keywords").select("book_id", "chunk_id", k["wikimedia"].alias("wikimedia"), k["pexels"].alias("pexels"), k["key_phrases"].alias("key_phrases"))
+    return K.complete(x, F.col("p"), "keywords").select("book_id", "chunk_id", *(F.array_join(k[c], "|").alias(c) for c in ("wikimedia", "pexels", "key_phrases")))
 
 
 def script_revision(s, d):
@@ -68,6 +68,6 @@ ORACLE = {
     "ocr_correction": """SELECT book_id, page_no, raw_text AS text, ((instr('0123456789abcdef', md5(raw_text)[1]) - 1) * 16 + instr('0123456789abcdef', md5(raw_text)[2]) - 1) % 4 = 0 AS failed
 FROM (SELECT DISTINCT book_id, page_no, pdf_type, raw_text FROM page) WHERE pdf_type = 'scanned' AND regexp_matches(raw_text, '[^\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]')""",
     "section_keywords": f"""WITH w AS (SELECT book_id, chunk_id, list_filter(string_split_regex(text[:400], '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+'), lambda x: x <> '')[:6] AS w FROM {CHUNKS} WHERE text IS NOT NULL)
-SELECT book_id, chunk_id, w[:4] AS wikimedia, w[:3] AS pexels, w[:2] AS key_phrases FROM w""",
+SELECT book_id, chunk_id, coalesce(array_to_string(w[:4], '|'), '') AS wikimedia, coalesce(array_to_string(w[:3], '|'), '') AS pexels, coalesce(array_to_string(w[:2], '|'), '') AS key_phrases FROM w""",
 }
 QUERIES = {k: globals()[k] for k in (*ORACLE, "script_revision", "backend_chain", "page_stitch", "resilient_json")}
