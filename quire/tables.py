@@ -21,7 +21,7 @@ SHOT_COLUMNS = (
 
 def once(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with its repeated rows once; rows with a null key stay as they are."""
-    again = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    again = df.groupBy(*keys).agg(F.count("*").alias("__times")).where("__times > 1").select(*keys)
     again = small_or_shuffled(again, 1_000_000)
     return df.join(again, keys, "left_anti").unionAll(df.join(again, keys, "left_semi").distinct())
 
