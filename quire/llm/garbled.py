@@ -131,6 +131,17 @@ def _undo_wide(token: str) -> str | None:
     return best
 
 
+#: Lost second bytes that only one common letter or sign has: fa after D9 and the closing quotation mark after E2 80.
+_LOST = (("Ù�", "Ù\x81"), ("â€�", "â€\x9d"))
+
+
+def refilled(token: str) -> str:
+    """``token`` with the replacement characters that can be told replaced by the bytes lost."""
+    for a, b in _LOST:
+        token = token.replace(a, b)
+    return token
+
+
 def _undo(token: str) -> str | None:
     """As often as it was garbled, four times at most."""
     out = None
@@ -267,7 +278,8 @@ def garbled_pages(pages: DataFrame) -> DataFrame:
 
     ``restored`` is the text with every garbled token replaced that could be recovered; ``n_restored`` counts those.
     Pages repeated under one key count once (the first by text). Defined results: an empty table gives no rows; pages
-    without a source learn together, as one source; tokens of replacement characters stay as they are.
+    without a source learn together, as one source; tokens with replacement characters stay as they are, unless what was lost
+    can only be one letter or sign.
     """
     joint = language_model(pages)
     hit = affected_pages(pages).dropDuplicates(["book_id", "page_no"])
@@ -311,9 +323,10 @@ def garbled_pages(pages: DataFrame) -> DataFrame:
 
                 def fix(m: re.Match, table=table, done=done) -> str:
                     w = m.group()
-                    if "�" in w or not is_garbled(w):
+                    if not is_garbled(w):
                         return w
-                    new = _undo(w) or w.translate(table)
+                    full = refilled(w)
+                    new = w if "�" in full else _undo(full) or full.translate(table)
                     done[0] += new != w
                     return new
 

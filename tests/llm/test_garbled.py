@@ -48,15 +48,16 @@ def test_pages_are_restored(spark):
         ("g1", 1, "s", "نص " + wrong(AR, "utf-8", "cp1256"), "x"),
         ("g2", 1, None, wrong(AR, "cp1256", "cp1252"), "x"),
         ("g3", 1, "s", wrong(wrong(fr, "utf-8", "latin-1"), "utf-8", "latin-1"), "x"),
-        ("g4", 1, "s", "���� x", "x"),
+        ("g4", 1, "s", "���� x", "x"), ("g5", 1, "s", "Ø®Ù„Ù� waldâ€�", "x"),
         ("n1", 1, "s", None, "x"), ("n2", 1, "s", "", "x"), ("n3", 1, "s", "  ", None),
     ]
     df = spark.createDataFrame(clean + bad + bad[:1], SCHEMA)
     out = {r.book_id: r for r in garbled_pages(df).collect()}
-    assert set(out) == {"g1", "g2", "g3", "g4"}
+    assert set(out) == {"g1", "g2", "g3", "g4", "g5"}
     assert out["g1"].restored == "نص " + AR and out["g3"].restored == fr
     assert sum(a == b for a, b in zip(out["g2"].restored, AR, strict=True)) > 0.95 * len(AR)
     assert out["g4"].restored == "���� x" and out["g4"].n_restored == 0
+    assert out["g5"].restored == "خلف wald”" and out["g5"].n_restored == 2
     assert garbled_pages(df.limit(0)).collect() == []
 
 
