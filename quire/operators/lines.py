@@ -44,22 +44,28 @@ def header_conf(s: Column) -> Column:
 def explode_lines(pages: DataFrame, text: str = "raw_text") -> DataFrame:
     """``(book_id, page_no, line_no, line, n_lines)``, lines numbered from 0; null texts have none."""
     arr = F.split(text, "\n")
-    return pages.where(F.col(text).isNotNull()).select("book_id", "page_no", F.size(arr).alias("n_lines"), F.posexplode(arr).alias("line_no", "line"))
+    more = [c for c in ("versions",) if c in pages.columns]
+    return pages.where(F.col(text).isNotNull()).select("book_id", "page_no", *more, F.size(arr).alias("n_lines"), F.posexplode(arr).alias("line_no", "line"))
 
 
 def classify_lines(pages: DataFrame) -> DataFrame:
     """``(book_id, page_no, line_no, footer_type, confidence, text)``: a row for each class that a line has.
 
-    ``pages`` are a book's pages in the order of ``page_no``; a page is taken twice, with and without a footnote that goes on
-    from the page before, and the fold over the book's pages picks one of the two.
+    ``pages`` are a book's pages in the order of ``page_no``. A page behind one with a line that a footnote could go on from is
+    taken twice, with and without such a footnote, and the fold over the book's pages picks one of the two. Texts are shuffled
+    once, by book; every window and grouping that follows finds its rows there.
     """
+    may_go_on = F.coalesce(T.strip_bidi(F.col("raw_text")).rlike(f"(?dm)(?:=| [-–—―]){T.WS}*$"), F.lit(False))
+    before_it = F.coalesce(F.lag(may_go_on).over(Window.partitionBy("book_id").orderBy("page_no")), F.lit(False))
+    once = pages.where("raw_text IS NOT NULL").select("book_id", "page_no", "raw_text")
+    once = once.withColumn("versions", F.when(before_it, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
     top = F.greatest(F.lit(1), F.floor(F.col("n_lines") * F.lit(0.15)).cast("int"))
     bottom = F.least(F.col("n_lines") - 1, F.floor(F.col("n_lines") * F.lit(1 - 0.15)).cast("int"))
     base = (
-        explode_lines(pages).withColumn("s", T.strip(F.col("line"))).withColumn("c", T.strip(T.strip_bidi(F.col("line"))))
+        explode_lines(once).withColumn("s", T.strip(F.col("line"))).withColumn("c", T.strip(T.strip_bidi(F.col("line"))))
         .withColumn("in_top", F.col("line_no") < top).withColumn("in_bottom", F.col("line_no") >= bottom).withColumn("blank", F.col("s") == "")
         .withColumn("is_new", F.coalesce(T.strip_bidi(F.col("s")).rlike(NEW_MARKER), F.lit(False)))
-        .withColumn("pending", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("pending", F.explode("versions"))
     )
     page = Window.partitionBy("book_id", "page_no", "pending")
     upto = page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
