@@ -18,7 +18,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: repeated_lines.repeated_lines(t(s, d, "page"), t(s, d, "book")),
         "p1_texts": lambda s, d: repeated_lines.without_repeated_lines(t(s, d, "page"), t(s, d, "book")),
-        "p1_clusters": lambda s, d: repeated_lines.line_clusters(t(s, d, "page"), t(s, d, "book")),
+        "p1_lines": lambda s, d: repeated_lines.line_classes(t(s, d, "page"), t(s, d, "book")),
         "p2_found": lambda s, d: ocr.page_noise(t(s, d, "page"), t(s, d, "book")),
         "p2_texts": lambda s, d: ocr.repaired_pages(t(s, d, "page"), t(s, d, "book")),
         "p3_found": lambda s, d: splitting.split_chunks(t(s, d, "chunk")).select("book_id", "chunk_id").distinct(),
