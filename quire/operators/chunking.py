@@ -120,3 +120,27 @@ def bundle_parts(items: DataFrame, keys: list[str], order: str, size: str, limit
 
     rows = items.groupBy(*keys).agg(F.aggregate(arr, start, step)["out"].alias("out"))
     return rows.select(*keys, F.explode("out").alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.z").alias(size), F.col("x.part").alias("part_no"))
+
+
+# How the lines begin that open a script's sections, and the sections' ids; the first that fits counts.
+SCRIPT_HEADS = (
+    ("النقطة\\s+الأولى", "point_1"), ("النقطة\\s+الثانية", "point_2"), ("النقطة\\s+الثالثة", "point_3"), ("النقطة\\s+الرابعة", "point_4"),
+    ("النقطة\\s+الخامسة", "point_5"), ("الخاتمة", "closing"), ("تقديم\\s+الكتاب", "cta"),
+)
+
+
+def script_sections(scripts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, sec_no, section_id, title, text, n_chars)`` of each script, in order from 0; ids may repeat.
+
+    What precedes the first heading is "opening", titled by the script's first line; blank sections are left out."""
+    s = T.strip(F.col("line"))
+    sid = F.lit(None).cast("string")
+    for pattern, name in reversed(SCRIPT_HEADS):
+        sid = F.when(s.rlike("^" + pattern), name).otherwise(sid)
+    w = Window.partitionBy(key).orderBy("i")
+    x = scripts.where(F.col(text).isNotNull()).select(key, F.posexplode(T.splitlines(F.col(text))).alias("i", "line")).withColumn("sid", sid)
+    x = x.withColumn("h", F.count("sid").over(w))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda r: r["line"])
+    g = x.groupBy(key, "h").agg(T.strip(F.array_join(lines, "\n")).alias("text"), F.coalesce(F.min_by("sid", "i"), F.lit("opening")).alias("section_id"), T.strip(F.min_by("line", "i")).alias("title"))
+    g = g.where("text <> ''").withColumn("sec_no", (F.row_number().over(Window.partitionBy(key).orderBy("h")) - 1))
+    return g.select(key, "sec_no", "section_id", "title", "text", F.length("text").alias("n_chars"))

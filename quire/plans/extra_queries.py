@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
+from quire.operators import chunking as K
 from quire.operators import layout
 from quire.operators import lines as L
 from quire.operators import pdf_text as P
@@ -15,7 +16,7 @@ from quire.sources import readers
 
 from .line_queries import _CLASSES
 from .media_queries import _CAND, _candidates
-from .sqlkit import CHUNKS, PAGES, SHOTS, n_words, re2, strip, values
+from .sqlkit import CHUNKS, PAGES, SHOTS, n_words, re2, splitlines, strip, values
 
 # Search words of a genre where no others are known.
 FALLBACK = {
@@ -41,6 +42,17 @@ def pdf_headings(s, d):
     return x.where(P.is_heading(F.col("line"))).select("book_id", "page_no", "line_no", P.clean_punctuation(P.fix_comma(F.col("line"))).alias("line"))
 
 
+_HEADS = ("نص آخر", "النقطة الأولى: بداية", "النقطة  الثانية", "النقطة الثالثة", "النقطة الرابعة", "النقطة الخامسة", "الخاتمة", "تقديم الكتاب")
+
+
+def script_sections(s, d):
+    """Scripts and memoirs with a heading put before each paragraph but the first."""
+    heads = F.array(*map(F.lit, _HEADS))
+    parts = F.transform(F.split("text", "\n\n"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.element_at(heads, (i % 8 + 1).cast("int")), F.lit("\n"), p)))
+    x = t(s, d, "documents").where("kind IN ('script', 'memoir') AND text IS NOT NULL").select("doc_id", F.array_join(parts, "\n").alias("text"))
+    return K.script_sections(x, "doc_id")
+
+
 def book_metadata(s, d):
     m = lambda k: F.coalesce(F.col("metadata")[k], F.lit("")).alias(k)
     return t(s, d, "book").select("book_id", m("title"), m("author"), m("subject"), m("creator"), F.coalesce(F.col("metadata")["pages"].cast("int"), F.lit(0)).alias("pages")).distinct()
@@ -181,6 +193,14 @@ SELECT book_id, page_no, CASE WHEN len(vs) = 0 THEN '' ELSE array_to_string(list
   WHEN ({_HEADING('acc[-1]')} AND len(acc) > 1) OR ({_HEADING('b[1]')} AND {strip('acc[-1]')} <> '') THEN acc || ['', b[1]] WHEN regexp_matches(acc[-1], '[.؟!]\\s*$') THEN acc || b ELSE acc[:-2] || [acc[-1] || ' ' || b[1]] END), chr(10)) END AS text FROM q""",
     "pdf_headings": f"""SELECT book_id, page_no, CAST(i - 1 AS INTEGER) AS line_no, {_PUNCT(_COMMA('line'))} AS line FROM (SELECT book_id, page_no, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i
   FROM {PAGES} WHERE raw_text IS NOT NULL) WHERE {_HEADING('line')}""",
+    "script_sections": f"""
+WITH d AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10) || chr(10)), lambda p, i: CASE WHEN i = 1 THEN p ELSE [{', '.join(f"'{h}'" for h in _HEADS)}][(i - 1) % 8 + 1] || chr(10) || p END), chr(10)) AS text
+  FROM documents WHERE kind IN ('script', 'memoir') AND text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, {splitlines('text')} AS ls FROM d)),
+c AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches({strip('line')}, '^{p}') THEN '{n}'" for p, n in K.SCRIPT_HEADS)} END AS sid FROM l),
+h AS (SELECT *, count(sid) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS h FROM c),
+g AS (SELECT doc_id, h, {strip("string_agg(line, chr(10) ORDER BY i)")} AS text, coalesce(first(sid ORDER BY i), 'opening') AS section_id, {strip('first(line ORDER BY i)')} AS title FROM h GROUP BY doc_id, h)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY h) - 1 AS INTEGER) AS sec_no, section_id, title, text, CAST(length(text) AS INTEGER) AS n_chars FROM g WHERE text <> ''""",
     "book_metadata": "SELECT DISTINCT book_id, coalesce(metadata['title'], '') AS title, coalesce(metadata['author'], '') AS author, coalesce(metadata['subject'], '') AS subject, coalesce(metadata['creator'], '') AS creator, coalesce(TRY_CAST(metadata['pages'] AS INTEGER), 0) AS pages FROM book",
     "duration_estimate": "SELECT doc_id, round(least(360.0::DOUBLE, greatest(60.0::DOUBLE, length(text) / 12)), 6) AS seconds FROM documents WHERE kind = 'script' AND text IS NOT NULL",
     "quote_sizes": f"""SELECT plan_id, shot_no, CASE WHEN {n_words('typography_text')} <= 8 THEN 'pull_quote_lg' WHEN {n_words('typography_text')} <= 13 THEN 'pull_quote_md' ELSE 'pull_quote_sm' END AS size,

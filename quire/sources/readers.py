@@ -119,3 +119,39 @@ def read_env(text: str) -> dict[str, str]:
         if eq and not k.startswith("#"):
             out.setdefault(k.strip(), v.strip().strip("\"'"))
     return out
+
+
+def pdf_pages(spark: SparkSession, path: str, extract=None) -> DataFrame:
+    """Pages of PDF files: ``(book_id, page_no, pdf_type, raw_text, metadata, error)``.
+
+    ``extract``: bytes -> (metadata, [text of each page]); by default an optional PDF library, without which every file gives one
+    row with an error. A page with under 100 characters, or in a font whose letters can't be read, is to be scanned."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def library(data: bytes):
+        import fitz
+
+        doc = fitz.open(stream=data, filetype="pdf")
+        return {k: str(doc.metadata.get(k) or "") for k in ("title", "author", "subject", "creator")}, [p.get_text() for p in doc]
+
+    read = extract or library
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, content in zip(b["path"], b["content"], strict=True):
+                book = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                try:
+                    meta, texts = read(content)
+                    rows += [(book, i, t, meta, None) for i, t in enumerate(texts, 1)]
+                except Exception as e:  # one file's failure is its own
+                    rows.append((book, None, None, {}, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["book_id", "page_no", "raw_text", "metadata", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+    x = files.mapInPandas(each, "book_id string, page_no int, raw_text string, metadata map<string,string>, error string")
+    t = F.col("raw_text")
+    scanned = (F.length(T.strip(t)) < 100) | T.is_corrupted_font(t) | T.is_decomposed(t)
+    return x.select("book_id", "page_no", F.when(t.isNotNull(), F.when(scanned, "scanned").otherwise("digital")).alias("pdf_type"), "raw_text", "metadata", "error")

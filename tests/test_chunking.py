@@ -93,6 +93,16 @@ def test_chunks_against_the_rules(spark):
         assert got == want
 
 
+def test_script_sections(spark):
+    t = "عنوان\nمقدمة\nالنقطة  الأولى: أ\nنص\n\nالخاتمة\n  \nالنقطة الأولى ثانية"
+    df = spark.createDataFrame([("s", t), ("n", "plain"), ("e", ""), ("z", None), ("h", "الخاتمة")], "k string, text string")
+    got = [(r.k, r.section_id, r.title, r.text) for r in C.script_sections(df, "k").orderBy("k", "sec_no").collect()]
+    assert got == [
+        ("h", "closing", "الخاتمة", "الخاتمة"), ("n", "opening", "plain", "plain"), ("s", "opening", "عنوان", "عنوان\nمقدمة"), ("s", "point_1", "النقطة  الأولى: أ", "النقطة  الأولى: أ\nنص"),
+        ("s", "closing", "الخاتمة", "الخاتمة"), ("s", "point_1", "النقطة الأولى ثانية", "النقطة الأولى ثانية"),
+    ]
+
+
 def test_bundles(spark):
     sizes = [3, 4, 9, 1, 0, 0, 12, 5]
     df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, o long, z long")

@@ -41,6 +41,19 @@ def test_photos_and_dossier(spark, tmp_path):
     assert sorted(map(tuple, readers.dossiers(spark, str(tmp_path / "p")).collect())) == [("p", 1, "map", "q", 1), ("p", 2, "", "", 0)]
 
 
+def test_pdf_pages(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one|" + b"x" * 120)
+    (tmp_path / "bad.pdf").write_bytes(b"!")
+
+    def extract(data):
+        if data == b"!":
+            raise ValueError("empty")
+        return {"title": "T"}, data.decode().split("|")
+
+    rows = sorted(map(tuple, readers.pdf_pages(spark, str(tmp_path), extract).select("book_id", "page_no", "pdf_type", "error").collect()), key=str)
+    assert rows == [("a", 1, "scanned", None), ("a", 2, "digital", None), ("bad", None, None, "ValueError: empty")]
+
+
 def test_archive_source(spark):
     spark.dataSource.register(archive.ImageSearch)
     raw = spark.read.format("image_search").option("queries", "a|b").option("limit", 12).load()
