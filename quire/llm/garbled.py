@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 # ---------------------------------------------------------------------------------------------- code pages
 
 
@@ -282,7 +284,7 @@ def garbled_pages(pages: DataFrame) -> DataFrame:
     can only be one letter or sign.
     """
     joint = language_model(pages)
-    hit = affected_pages(pages).dropDuplicates(["book_id", "page_no"])
+    hit = cut(affected_pages(pages).dropDuplicates(["book_id", "page_no"]))  # read twice below
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
