@@ -1,9 +1,11 @@
 """Lines repeated across one site's documents (problem 1).
 
-Numbers, dates and names of a line are masked, the rest becomes a stream of letters. MinHash bands over its 5-letter
-shingles are the buckets of a locality-sensitive hash within each source: one band over the masked stream brings lines
-together that differ in a name or date, one over the unmasked stream is equal whenever all letters are. A bucket with
-lines of several books makes its lines candidates; the document frequency is then counted exactly.
+Numbers, dates and names in Latin letters are masked in a line (Arabic has no capitals that tell a name), the rest becomes a
+stream of letters. MinHash bands over its 5-letter shingles are the buckets of a locality-sensitive hash within each source.
+For exact repeats one band over the unmasked stream is enough: it is equal whenever all letters are, and the document
+frequency is then counted exactly. For near-duplicate classes ``BANDS`` bands of ``ROWS`` MinHashes, all of different hash
+functions, bring masked streams of likeness 0.8 together with a chance of 0.999; all pairs of a bucket are compared, and
+linked lines are one class.
 
 Scale: what is shuffled first is (bucket, book) as two numbers, aggregated on the map side to the least and the greatest
 book of each bucket (of two books on, they differ), so a notice on a third of all pages costs one row a map task. Only
@@ -13,7 +15,7 @@ lines of buckets with two books or more - notices, not body text - are looked at
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,38 @@ def minhash_band(lines: list[str]) -> np.ndarray:
         return (one * _ODD[0] ^ two * _ODD[2]).view(np.int64)
 
 
+#: Bands and MinHashes a band: two lines of likeness s share a bucket with chance 1 - (1 - s**ROWS)**BANDS.
+BANDS, ROWS = 10, 3
+_MIX = np.random.default_rng(5).integers(1, 2**32, (BANDS * ROWS, 2), np.uint32) | np.uint32(1)
+#: Lines hashed at once, so that their shingles stay in the processor's cache.
+_BLOCK = 1000
+
+
+def minhash_bands(lines: list[str]) -> np.ndarray:
+    """``BANDS`` 64-bit keys a line, each of ``ROWS`` MinHashes with hash functions of their own."""
+    out = np.zeros((BANDS, len(lines)), np.uint64)
+    for at in range(0, len(lines), _BLOCK):
+        block = [x if len(x) >= SHINGLE else x.ljust(SHINGLE) for x in lines[at : at + _BLOCK]]
+        size = np.array([len(x) for x in block])
+        buf = np.frombuffer("".join(block).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            n = len(buf) - SHINGLE + 1
+            h = buf[:n] * _ODD[0]
+            for k in range(1, SHINGLE):
+                h += buf[k : n + k] * _ODD[k]
+            h = (h >> np.uint64(32)).astype(np.uint32)
+            end = np.cumsum(size)
+            cuts = np.stack([end - size, end - SHINGLE + 1], 1).ravel()
+            if cuts[-1] >= n:
+                cuts = cuts[:-1]
+            x = np.empty_like(h)
+            to = out[:, at : at + _BLOCK]
+            for i, (p, q) in enumerate(_MIX):
+                np.multiply(np.bitwise_xor(h, p, out=x), q, out=x)
+                to[i // ROWS] = (to[i // ROWS] ^ np.minimum.reduceat(x, cuts)[::2]) * _ODD[i % ROWS]
+    return out.view(np.int64)
+
+
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         at, no, plain, mask = [], [], [], []
@@ -90,22 +124,37 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "book_id": rows["book_id"].to_numpy(),
                 "page_no": rows["page_no"].to_numpy(),
                 "line_no": np.array(no, np.int32),
-                "line_key": np.array([xxhash.xxh3_64_intdigest(x) for x in plain], np.uint64).view(np.int64),
-                "band_a": minhash_band(mask),
-                "band_b": minhash_band(plain),
+                "line_key": _keys(plain),
+                "plain": plain,
                 "masked": mask,
             }
         )
 
 
-_LINE = "book_id string, page_no int, line_no int, line_key long, band_a long, band_b long, masked string"
-#: Likeness (Jaccard, of shingles of masked letters) to its class's commonest line that a line needs.
+_LINE = "book_id string, page_no int, line_no int, line_key long, band_a long, band_b long"
+_MASKED = "book_id string, page_no int, line_no int, line_key long, mask_key long, masked string, " + ", ".join(f"band_{i} long" for i in range(BANDS))
+#: Likeness (Jaccard, of shingles of masked letters) that links two lines.
 LIKE = 0.8
 
 
+def _keys(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+
+
 def _without_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in _lines(batches):
-        yield b.drop(columns="masked")
+        mask = b.pop("masked").tolist()
+        yield b.assign(band_a=minhash_band(mask), band_b=minhash_band(b.pop("plain").tolist()))[_columns(_LINE)]
+
+
+def _with_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _lines(batches):
+        mask = b["masked"].tolist()
+        yield b.assign(mask_key=_keys(mask), **{f"band_{i}": x for i, x in enumerate(minhash_bands(mask))})[_columns(_MASKED)]
+
+
+def _columns(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def shingle_likeness(a: str, b: str) -> float:
@@ -113,14 +162,17 @@ def shingle_likeness(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def candidate_lines(pages: DataFrame, books: DataFrame, with_text: bool = False) -> DataFrame:
-    """Lines in a bucket that two or more books of one source share:
-    ``(book_id, page_no, line_no, source, line_key, bucket)`` and, if asked for, ``masked``; cut from its lineage."""
-    src = small_or_shuffled(book_facts(books).where("source IS NOT NULL").select("book_id", "source"))
+def _of_sources(pages: DataFrame, books: DataFrame, lines: Callable, schema: str) -> DataFrame:
+    src = small_or_shuffled(book_facts(books).where("source IS NOT NULL").select("book_id", "source", F.xxhash64("source").alias("source_key")))
     text = pages.select("book_id", "page_no", "raw_text").where("book_id IS NOT NULL AND page_no IS NOT NULL AND length(raw_text) >= 20")
-    rows = text.mapInPandas(_lines, _LINE) if with_text else text.mapInPandas(_without_text, _LINE.removesuffix(", masked string"))
-    lines = rows.join(src, "book_id")
-    bucket = lambda band, i: F.xxhash64("source", band, F.lit(i))
+    return text.mapInPandas(lines, schema).join(src, "book_id")
+
+
+def candidate_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
+    """Lines in a bucket that two or more books of one source share:
+    ``(book_id, page_no, line_no, source, line_key, bucket)``; cut from its lineage."""
+    lines = _of_sources(pages, books, _without_text, _LINE)
+    bucket = lambda band, i: F.xxhash64("source_key", band, F.lit(i))
     lines = lines.withColumn("buckets", F.array(bucket("band_a", 0), bucket("band_b", 1))).drop("band_a", "band_b")
     book = F.xxhash64("book_id")
     shared = (
@@ -132,7 +184,7 @@ def candidate_lines(pages: DataFrame, books: DataFrame, with_text: bool = False)
     # One row per line and bucket, both buckets looked up in one join. A line in two shared buckets comes out twice; it's
     # the same row, so the aggregations that follow don't mind.
     hit = lines.withColumn("bucket", F.explode("buckets")).join(shared, "bucket", "left_semi")
-    return cut(hit.select("book_id", "page_no", "line_no", "source", "line_key", "bucket", *["masked"] * with_text).distinct())
+    return cut(hit.select("book_id", "page_no", "line_no", "source", "line_key", "bucket").distinct())
 
 
 def repeated_lines(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BOOKS) -> DataFrame:
@@ -148,28 +200,92 @@ def repeated_lines(pages: DataFrame, books: DataFrame, least_books: int = LEAST_
     return lines.select("source", "line_key", "book_id", "page_no", "line_no").join(often, ["source", "line_key"], "left_semi").select("book_id", "page_no", "line_no").distinct()
 
 
+def linked_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
+    """Lines whose letters another book has, or that share a band with other masked letters, a row a line:
+    ``(book_id, page_no, line_no, source, line_key, mask_key, masked, hits)``, ``hits`` its shared buckets; cut from its lineage."""
+    lines = _of_sources(pages, books, _with_bands, _MASKED)
+    book = F.xxhash64("book_id")
+    # bands are shared by two spellings, equal letters by two books
+    key = lambda k, i, v: F.struct(F.xxhash64("source_key", k, F.lit(i)).alias("bucket"), v.alias("value"))
+    exact = [key("mask_key", -1, book), F.when(F.col("line_key") != F.col("mask_key"), key("line_key", -1, book))]
+    of = F.array_compact(F.array(*exact, *(key(f"band_{i}", i, F.col("mask_key")) for i in range(BANDS))))
+    shared = lines.select(F.explode(of).alias("k")).groupBy("k.bucket").agg(F.min("k.value").alias("lo"), F.max("k.value").alias("hi")).where("lo < hi").select("bucket")
+    shared = small_or_shuffled(cut(shared), 1_000_000)
+    line = ["book_id", "page_no", "line_no", "source", "line_key", "mask_key", "masked"]
+    hit = lines.select(*line, F.explode(F.transform(of, lambda k: k["bucket"])).alias("bucket")).join(shared, "bucket", "left_semi")
+    return cut(hit.groupBy(*line).agg(F.collect_set("bucket").alias("hits")))
+
+
+def links(keys: list[int], texts: list[str], like: float = LIKE) -> list[tuple[int, int]]:
+    """Edges between the keys of a bucket that span what all its pairs of at least ``like`` likeness connect.
+
+    A pair whose keys are already connected isn't compared, so variants of one notice take time by their number."""
+    sets = [{t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))} for t in texts]
+    groups: list[list[int]] = []
+    out = []
+    for i, x in enumerate(sets):
+        joined, apart = [i], []
+        for g in groups:
+            for j in g:
+                y = sets[j]
+                if min(len(x), len(y)) >= like * max(len(x), len(y)) and (n := len(x & y)) >= like * (len(x) + len(y) - n):
+                    out.append((keys[i], keys[j]))
+                    joined += g
+                    break
+            else:
+                apart.append(g)
+        groups = [*apart, joined]
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(source, node, label)``: the least node that each node of ``(source, a, b)`` is connected with."""
+    both = cut(edges.unionByName(edges.select("source", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = both.groupBy("source", F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
+    while True:
+        near = both.join(label.withColumnRenamed("node", "b"), ["source", "b"]).groupBy("source", F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = label.join(near, ["source", "node"]).select("source", "node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = step.select("source", F.col("node").alias("label"), F.col("label").alias("far"))
+        step = cut(step.join(jump, ["source", "label"]).select("source", "node", "was", F.least("label", "far").alias("label")))
+        label = step.drop("was")
+        if step.where("label < was").isEmpty():
+            return label
+
+
 def line_classes(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BOOKS, like: float = LIKE) -> DataFrame:
     """Near-duplicate classes, a row a line: ``(book_id, page_no, line_no, source, line_class, n_books)``.
 
-    A bucket's lines are compared with its commonest line only, so a bucket of any size takes time by its size. Those of the
-    same letters, or at least ``like`` it by their masked letters, are one class, others one with the lines of their own letters;
-    classes of ``least_books`` books count. A line in two classes is given that of more books."""
-    lines = candidate_lines(pages, books, with_text=True)
-    spelling = lines.groupBy("source", "bucket", "line_key").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
-    first = spelling.groupBy("source", "bucket").agg(F.max_by(F.struct("line_key", "masked"), F.struct("n", "line_key")).alias("f"))
-    # one row a spelling and bucket: a notice on a third of all pages is compared once
-    pairs = spelling.join(first, ["source", "bucket"]).select("source", "bucket", "line_key", "masked", F.col("f.line_key").alias("first_key"), F.col("f.masked").alias("first"))
+    Lines of the same letters, and those at least ``like`` by their masked letters, are linked; what links connect is one
+    class, and classes of ``least_books`` books count."""
+    lines = linked_lines(pages, books)
+    spelling = lines.select("source", "mask_key", "masked", F.explode("hits").alias("bucket")).distinct()
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(b: pd.DataFrame) -> pd.DataFrame:
+            at = np.flatnonzero(np.r_[True, b["bucket"].to_numpy()[1:] != b["bucket"].to_numpy()[:-1], True])
+            source, key, text, rows = b["source"].tolist(), b["mask_key"].tolist(), b["masked"].tolist(), []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                if j - i > 1:
+                    rows += [(source[i], x, y) for x, y in links(key[i:j], text[i:j], like)]
+            return pd.DataFrame(rows, columns=["source", "a", "b"])
+
+        kept: list[pd.DataFrame] = []  # a bucket may go on in the next batch
         for b in batches:
-            ok = [k == f or shingle_likeness(x, y) >= like for k, f, x, y in zip(b["line_key"], b["first_key"], b["masked"], b["first"], strict=True)]
-            yield b[["source", "bucket", "line_key"]].assign(line_class=np.where(ok, b["bucket"], b["line_key"]))
-
-    classes = pairs.mapInPandas(each, "source string, bucket long, line_key long, line_class long")
-    near = lines.select("book_id", "page_no", "line_no", "source", "bucket", "line_key").join(classes, ["source", "bucket", "line_key"])
+            if len(b):
+                last = b["bucket"] == b["bucket"].iloc[-1]
+                if not last.all() or (kept and kept[-1]["bucket"].iloc[-1] != b["bucket"].iloc[-1]):
+                    yield found(pd.concat([*kept, b[~last]]))
+                    kept = []
+                kept.append(b[last])
+        if kept:
+            yield found(pd.concat(kept))
+
+    like_edges = spelling.repartition("bucket").sortWithinPartitions("bucket", "mask_key").mapInPandas(each, "source string, a long, b long")
+    same = lines.where("line_key <> mask_key").select("source", F.col("line_key").alias("a"), F.col("mask_key").alias("b"))
+    label = components(like_edges.unionByName(same).distinct()).select("source", F.col("node").alias("mask_key"), "label")
+    near = lines.drop("masked", "hits").join(label, ["source", "mask_key"], "left").withColumn("line_class", F.coalesce("label", "mask_key"))
     size = near.select("source", "line_class", "book_id").distinct().groupBy("source", "line_class").agg(F.count("*").alias("n_books")).where(F.col("n_books") >= least_books)
-    best = F.max(F.struct("n_books", "line_class"))
-    return near.join(size, ["source", "line_class"]).groupBy("book_id", "page_no", "line_no", "source").agg(best.alias("b")).select("book_id", "page_no", "line_no", "source", "b.line_class", "b.n_books")
+    return near.join(size, ["source", "line_class"]).select("book_id", "page_no", "line_no", "source", "line_class", "n_books").distinct()
 
 
 def without_repeated_lines(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BOOKS) -> DataFrame:

@@ -64,3 +64,29 @@ def test_against_brute_force(spark):
     classes = line_classes(p, b).collect()
     assert len({(r.book_id, r.page_no, r.line_no) for r in classes}) == len(classes) and want <= {(r.book_id, r.page_no, r.line_no) for r in classes}
     assert repeated_lines(p.limit(0), b).collect() == [] and repeated_lines(p, b.limit(0)).collect() == []
+
+
+def test_classes_link_all_like_lines(spark):
+    from quire.llm.repeated_lines import minhash_bands
+
+    rng = random.Random(5)
+    abc = "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
+    word = lambda n: "".join(rng.choice(abc) for _ in range(n))
+    pairs = []
+    for _ in range(300):
+        a = word(60)
+        b = a[:30] + rng.choice(abc.replace(a[30], "")) + a[31:]
+        pairs.append((a, b))
+    one, two = minhash_bands([a for a, _ in pairs]), minhash_bands([b for _, b in pairs])
+    assert all(shingle_likeness(a, b) >= 0.8 for a, b in pairs) and (one == two).any(0).mean() > 0.99
+    pages, books = [], [(f"b{i}", "s", None, None) for i in range(3)]
+    for n in range(40):  # each line like the one before it only, all of other books
+        a = word(60)
+        b = a[:15] + rng.choice(abc.replace(a[15], "")) + a[16:]
+        x = [a, b, b[:45] + rng.choice(abc.replace(b[45], "")) + b[46:]]
+        pages += [(f"b{i}", n, t, None, "x", 1) for i, t in enumerate(x)]
+    got = {}
+    for r in line_classes(spark.createDataFrame(pages, PAGE), spark.createDataFrame(books, BOOK)).collect():
+        got.setdefault(r.page_no, set()).add((r.book_id, r.line_class))
+    whole = [n for n, x in got.items() if len(x) == 3 and len({c for _, c in x}) == 1]
+    assert len(whole) >= 39
