@@ -69,9 +69,9 @@ def pooled(sources: list[DataFrame]) -> DataFrame:
 
 
 def labels(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """``label``: a, b, c … within a key's source."""
-    k = F.row_number().over(Window.partitionBy(*keys, "source").orderBy("ord"))
-    return candidates.withColumn("label", F.concat("source", F.lit(":"), F.char(F.lit(96) + k)))
+    """``label``: a, b, c … z within a key's source, from the 27th on its number counted from 0: 26, 27 …"""
+    k = F.row_number().over(Window.partitionBy(*keys, "source").orderBy("ord")) - 1
+    return candidates.withColumn("label", F.concat("source", F.lit(":"), F.when(k < 26, F.char(F.lit(97) + k)).otherwise(k.cast("string"))))
 
 
 def resolve_dossier(decisions: DataFrame, files: DataFrame) -> DataFrame:

@@ -51,8 +51,7 @@ def limit_total(s, d):
 
 
 def candidate_labels(s, d):
-    x = C.limit_per_source(_candidates(s, d), ["shot_no"], 26)
-    return C.labels(x, ["shot_no"]).select("shot_no", "ord", "label")
+    return C.labels(_candidates(s, d), ["shot_no"]).select("shot_no", "ord", "label")
 
 
 def source_union(s, d):

@@ -152,3 +152,17 @@ def test_kernels(spark):
     pages = spark.createDataFrame([("b", 1, "a\nb"), ("b", 2, "H\nc\nd"), ("b", 3, None)], "book_id string, page_no int, raw_text string")
     st = {r.page_no: r.text for r in K.stitch_pages(pages, lambda p: {"join": True, "header": "H"}).collect()}
     assert st == {1: "a\nb\nc", 2: "\nd", 3: ""}
+
+
+def test_labels_past_the_alphabet(spark):
+    from quire.plans import media_queries
+
+    df = spark.createDataFrame([(1, i, s) for i in range(30) for s in ("loc", "pexels")], "shot_no int, ord int, source string")
+    got = {(r.source, r.ord): r.label for r in C.labels(df, ["shot_no"]).collect()}
+    assert len(got) == 60 and [got[("loc", i)] for i in (0, 25, 26, 29)] == ["loc:a", "loc:z", "loc:26", "loc:29"]
+    docs = spark.range(97 * 300).select((F.col("id") * 97).alias("doc_id"), F.lit("x").alias("title"))
+    old, media_queries.t = media_queries.t, lambda *_: docs
+    try:
+        assert media_queries.candidate_labels(spark, "").count() == 97 * 300
+    finally:
+        media_queries.t = old
