@@ -94,14 +94,14 @@ def chunk_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
     return c.join(span, "book_id").select("book_id", "chunk_id", "chapter", "page_start", "page_end", n.alias("word_count"), T.token_est(n).alias("token_est"), "text")
 
 
-def reader_groups(chunks: DataFrame, calls: int = 40, cap: int = 3000) -> DataFrame:
-    """Chunks of a book grouped so that at most about ``calls`` groups come out, each text cut to ``cap`` characters:
-    ``(book_id, group_no, n_chunks, text)``."""
+def reader_groups(chunks: DataFrame, calls: int = 40, cap: int | None = 3000) -> DataFrame:
+    """Chunks of a book grouped so that at most about ``calls`` groups come out, each text cut to ``cap`` characters (None:
+    whole): ``(book_id, group_no, n_chunks, text)``."""
     book = Window.partitionBy("book_id")
     x = chunks.where("text IS NOT NULL").withColumn("k", F.row_number().over(book.orderBy("chunk_id")) - 1).withColumn("n", F.count("*").over(book))
     x = x.withColumn("group_no", F.floor(F.col("k") / F.greatest(F.lit(1), F.floor(F.col("n") / calls))).cast("int"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda c: c["text"]), "\n\n")
-    return x.groupBy("book_id", "group_no").agg(F.count("*").alias("n_chunks"), F.substring(joined, 1, cap).alias("text"))
+    return x.groupBy("book_id", "group_no").agg(F.count("*").alias("n_chunks"), (joined if cap is None else F.substring(joined, 1, cap)).alias("text"))
 
 
 def bundle_parts(items: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:

@@ -32,7 +32,7 @@ def section_keywords(s, d):
 
 
 def script_revision(s, d):
-    outlines = C.reader_groups(tables.chunks(s, d), 1, 6000).groupBy("book_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("outline"))
+    outlines = C.reader_groups(tables.chunks(s, d), 1, None).select("book_id", F.col("text").alias("outline"))
     return K.revise(outlines, "echo", "score").select("book_id", "total", "n_words", "retries")
 
 

@@ -121,3 +121,14 @@ def test_groups(spark):
     got = [(r.group_no, r.n_chunks, r.text) for r in C.reader_groups(df, 3).orderBy("group_no").collect()]
     assert got == [(0, 2, "t0\n\nt1"), (1, 2, "t2\n\nt3"), (2, 2, "t4\n\nt5"), (3, 1, "t6")]
     assert C.sections(df.select("book_id", F.col("chunk_id").alias("page_no"), F.col("text").alias("raw_text")).limit(0)).collect() == []
+
+
+def test_script_revision_counts_whole_books(spark, monkeypatch):
+    from quire.plans import kernel_queries
+
+    rows = [("long", i, " ".join(["word"] * 700)) for i in range(5)] + [("short", 1, "a b c")]
+    chunks = spark.createDataFrame(rows, "book_id string, chunk_id int, text string")
+    monkeypatch.setattr(kernel_queries.tables, "chunks", lambda *_: chunks)
+    got = {r.book_id: r for r in kernel_queries.script_revision(spark, "").collect()}
+    # the last attempt's script has the marks of two failed attempts
+    assert got["long"].n_words == 3500 + 2 * 3 and got["long"].retries == 3 and got["short"].n_words == 3 + 2 * 3
