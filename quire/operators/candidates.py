@@ -99,7 +99,8 @@ def waterfall(shots: DataFrame, steps: list[tuple[str, DataFrame]], key: str = "
 
 
 def user_uploads(shots: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """``(shot_no, path, via)``: by number, by query, then by a file's name shot_NN; only files that exist.
+    """``(plan_id, shot_no, path, via)`` of every plan's shots: by number, by query, then by a file's name shot_NN; only files
+    that exist.
 
     ``manifest``: (key, name), keys like "5" or "query:…"; ``files``: (name)."""
     have = manifest.join(files, "name", "left_semi")
@@ -107,11 +108,11 @@ def user_uploads(shots: DataFrame, manifest: DataFrame, files: DataFrame) -> Dat
     by_q = have.select(F.col("key").alias("__q"), F.col("name").alias("__query"))
     named = files.where(F.col("name").rlike(r"^shot_\d+\.(jpg|jpeg|png|webp|tif|tiff)$")).select(F.regexp_extract("name", r"^shot_(\d+)", 1).alias("__n"), "name").groupBy("__n").agg(F.min("name").alias("__file"))
     x = (
-        shots.select("shot_no", "search_query").join(by_no, F.col("shot_no").cast("string") == F.col("__k"), "left")
+        shots.select("plan_id", "shot_no", "search_query").join(by_no, F.col("shot_no").cast("string") == F.col("__k"), "left")
         .join(by_q, F.concat(F.lit("query:"), "search_query") == F.col("__q"), "left").join(named, F.format_string("%02d", "shot_no") == F.col("__n"), "left")
     )
     via = F.when(F.col("__no").isNotNull(), "number").when(F.col("__query").isNotNull(), "query").when(F.col("__file").isNotNull(), "name")
-    return x.select("shot_no", F.coalesce("__no", "__query", "__file").alias("path"), via.alias("via"))
+    return x.select("plan_id", "shot_no", F.coalesce("__no", "__query", "__file").alias("path"), via.alias("via"))
 
 
 def best(candidates: DataFrame, keys: list[str]) -> DataFrame:

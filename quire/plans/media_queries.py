@@ -84,7 +84,7 @@ FILES = [("five.jpg",), ("shot_07.jpg",), ("shot_07.png",), ("shot_01.jpg",), ("
 
 
 def user_uploads(s, d):
-    x = tables.shots(s, d).select("shot_no", F.when(F.col("shot_no") == 9, "z").otherwise(F.coalesce("search_query", F.lit(""))).alias("search_query")).groupBy("shot_no").agg(F.min("search_query").alias("search_query"))
+    x = tables.shots(s, d).select("plan_id", "shot_no", F.coalesce("search_query", F.lit("")).alias("search_query"))
     return C.user_uploads(x, s.createDataFrame(MANIFEST, "key string, name string"), s.createDataFrame(FILES, "name string"))
 
 

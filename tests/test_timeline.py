@@ -166,3 +166,16 @@ def test_labels_past_the_alphabet(spark):
         assert media_queries.candidate_labels(spark, "").count() == 97 * 300
     finally:
         media_queries.t = old
+
+
+def test_uploads_of_every_plan(spark, monkeypatch):
+    from quire.plans import media_queries
+
+    rows = [("p", 1, "a"), ("p", 5, "z"), ("p", 9, "a"), ("q", 1, "z"), ("q", 9, "z"), ("q", 40, None)]
+    shots = spark.createDataFrame(rows, "plan_id string, shot_no int, search_query string")
+    monkeypatch.setattr(media_queries.tables, "shots", lambda *_: shots)
+    got = {(r.plan_id, r.shot_no): (r.path, r.via) for r in media_queries.user_uploads(spark, "").collect()}
+    assert got == {
+        ("p", 1): ("shot_01.jpg", "name"), ("p", 5): ("five.jpg", "number"), ("p", 9): (None, None),
+        ("q", 1): ("z.png", "query"), ("q", 9): ("z.png", "query"), ("q", 40): (None, None),
+    }
