@@ -356,22 +356,32 @@ def page_boxes(images: DataFrame) -> DataFrame:
 
 
 def drawn_pages(pages: DataFrame, height: int = 480, width: int = 320) -> DataFrame:
-    """Stand-in page images: a strip for each line of text, as long as the line, a thin rule for a line of signs."""
+    """Stand-in page images: a strip for each line of text, as long as the line, a thin rule for a line of signs.
+
+    An image is at least ``height`` by ``width``; longer pages and lines make it larger."""
+    columns = ["book_id", "page_no", "height", "width", "pixels"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for r in b.itertuples(index=False):
-                g = np.full((height, width), 245, np.uint8)
-                for i, x in enumerate((r.raw_text or "").split("\n")[:26]):
-                    y, s = 16 + 17 * i, x.strip()
+                lines = [x.strip() for x in (r.raw_text or "").split("\n")]
+                h = max(height, 16 + 17 * len(lines) + 22)
+                w = max(width, 60 + max(4 * len(x) for x in lines))
+                g = np.full((h, w), 245, np.uint8)
+                for i, s in enumerate(lines):
+                    y = 16 + 17 * i
                     if s and not s.strip("_="):
                         g[y + 4 : y + 5, 30:110] = 40
                     elif s:
-                        g[y : y + 8, 30 : 30 + min(260, 4 * len(s)) : 2] = 40
-                        g[y : y + 8, 30 : 30 + min(260, 4 * len(s)) : 6] = 5
-                rows.append((r.book_id, r.page_no, height, width, g.tobytes()))
-            yield pd.DataFrame(rows, columns=["book_id", "page_no", "height", "width", "pixels"])
+                        g[y : y + 8, 30 : 30 + 4 * len(s) : 2] = 40
+                        g[y : y + 8, 30 : 30 + 4 * len(s) : 6] = 5
+                rows.append((r.book_id, r.page_no, h, w, g.tobytes()))
+                held += h * w
+                if held > 16_000_000:  # a batch of texts is far larger as images
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     # drawing and reading images takes time, not bytes: as many tasks as a shuffle has, not as the texts' size suggests
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))

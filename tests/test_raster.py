@@ -104,3 +104,13 @@ def test_spans(spark):
     assert [(r.line_no, r.text) for r in layout.visual_lines(df).orderBy("line_no").collect()] == [(1, "a ً b"), (2, "c")]
     chars = spark.createDataFrame([(1, 1, 0, "ق", 10.0), (1, 1, 1, "ل", 5.0), (1, 1, 2, "ً", 6.0)], "page int, span int, i int, c string, ox double")
     assert [(r.c, r.host) for r in layout.host_letters(chars).collect()] == [("ً", "ل")]
+
+
+def test_drawn_pages_hold_every_line(spark):
+    text = "\n".join(["word " * 12] * 40 + ["x" * 400])
+    pages = spark.createDataFrame([("b", 1, text), ("b", 2, "a\n" * 25 + "b"), ("b", 3, None)], "book_id string, page_no int, raw_text string")
+    images = raster.drawn_pages(pages)
+    got = {r.page_no: r for r in images.collect()}
+    assert (got[2].height, got[2].width) == (got[3].height, got[3].width) == (480, 320)
+    g = np.frombuffer(got[1].pixels, np.uint8).reshape(got[1].height, got[1].width)
+    assert ((g < 100).any(1)[16::17][:41]).all() and np.flatnonzero((g[16 + 17 * 40] < 100))[-1] == 30 + 4 * 400 - 2
