@@ -28,7 +28,7 @@ def queries() -> dict[str, Query]:
         "p6_found": lambda s, d: confusables.variant_texts(t(s, d, "page"), t(s, d, "chunk")).select("record_type", "book_id", "item_no").distinct(),
         "p6_texts": lambda s, d: confusables.consistent_texts(t(s, d, "page"), t(s, d, "chunk")).distinct(),
         "p6_groups": lambda s, d: confusables.lookalike_groups(t(s, d, "page"), t(s, d, "chunk")),
-        "p7_found": lambda s, d: runs.event_runs(t(s, d, "shot")).select("plan_id", "first_shot_no", "last_shot_no"),
+        "p7_found": lambda s, d: runs.event_runs(t(s, d, "shot"), chains=True).select("plan_id", "first_shot_no", "last_shot_no"),
         "p7_runs": lambda s, d: runs.event_runs(t(s, d, "shot")),
         "p8_ids": lambda s, d: tokenizer.encode_documents(t(s, d, "documents")),
         "p9_found": lambda s, d: leaks.leaked_passages(t(s, d, "documents"), t(s, d, "eval_items")).select("doc_id", "item_id"),

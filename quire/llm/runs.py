@@ -1,8 +1,13 @@
 """Runs of identical or nearly identical consecutive events (problem 7).
 
-Segmentation is optimal: per entity, a pruned dynamic programme over the ordered events minimises the dissimilarity
-within segments plus a penalty per boundary. The dissimilarity of a segment is the sum over neighbouring events: 0 if
-they show the same, a little if nearly, more than any penalty if not. Segments of two or more events are runs.
+Segmentation is optimal: per entity, a pruned dynamic programme over the ordered events minimises the dissimilarity within
+segments plus a penalty per boundary. Within a segment, an event costs its dissimilarity to the more alike of the two
+events before it: 0 if they show the same, a little if nearly, at least the penalty if their texts differ by more, without
+bound if their visuals differ. So one passing event that differs somewhat (A B A) is cheaper kept inside its run than cut
+out of it. Segments of two or more events are runs.
+
+Pruning: once two starts lie two or more events back, what comes costs both the same, so only the cheaper one stays alive;
+three starts an event are compared, and the programme is linear and exact.
 
 Events are range-partitioned by (entity, time), so an entity with a third of all events is split over many tasks; each
 task segments its stretch of each entity. Only the segments at a partition's borders - two a partition - are compared
@@ -12,6 +17,7 @@ again, with the neighbouring ones, to join runs that the partitioning cut.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quire.session import cut
 
-#: Cost of a boundary; of a step between equal, nearly equal and different neighbours.
-PENALTY, EQUAL, NEAR, OTHER = 1.0, 0.0, 0.05, 10.0
+#: Cost of a boundary; of an event nearly equal to its neighbour; what wholly different texts cost beyond the penalty.
+PENALTY, NEAR, SPREAD = 1.0, 0.05, 2.0
 #: Letters and digits that two texts must have to be nearly equal with one letter's difference.
 LEAST = 12
 
@@ -55,95 +61,131 @@ def near(a: str, b: str) -> bool:
     return a == b or (len(a) >= LEAST and len(b) >= LEAST and _digits(a) == _digits(b) and _one_edit(a, b))
 
 
-def dissimilarity(va: str | None, ta: str, vb: str | None, tb: str) -> float:
-    if va is None or vb is None or va != vb or not near(ta, tb):
-        return OTHER
-    return EQUAL if ta == tb else NEAR
+def dissimilarity(a: str, b: str) -> float:
+    """Dissimilarity of two events of one visual by their key texts: 0 to ``NEAR`` if they are nearly the same, else the
+    penalty and more, by the share of letter pairs that they don't have in common."""
+    if a == b:
+        return 0.0
+    if near(a, b):
+        return NEAR
+    x, y = (Counter(zip(t, t[1:], strict=False)) for t in (a, b))
+    return PENALTY + SPREAD * (1 - 2 * sum((x & y).values()) / max(1, len(a) + len(b) - 2))
 
 
-def segment(step: np.ndarray, penalty: float = PENALTY) -> list[int]:
-    """Starts of the cheapest segments of ``len(step) + 1`` events; ``step[i]`` is the cost of keeping i and i+1 together.
+def segment(one: list[float], two: list[float], penalty: float = PENALTY) -> list[int]:
+    """Starts of the cheapest segments of ``len(one)`` events.
 
-    Pruned dynamic programming: best[j] = min over starts i of best[i] + cost(i, j) + penalty. The cost within a segment
-    never falls, so a start whose cost has passed that of starting at j can never win later and is dropped: on data that
-    fall into runs few starts stay alive, and the whole takes linear time.
+    ``one[k]`` is the dissimilarity of event k to the event before, ``two[k]`` to the one before that. Event k of a segment
+    that starts at i costs 0 for k = i, ``one[k]`` for k = i + 1, else the less of ``one[k]`` and ``two[k]``. Of equally
+    cheap ways the one with the shorter last segment counts.
     """
-    n = len(step) + 1
-    best, back = np.zeros(n + 1), np.zeros(n + 1, np.int64)
-    alive, cost = [0], [0.0]  # starts, and best[start] + what has been paid since
-    for j in range(1, n + 1):  # the segment that ends before j
-        k = min(range(len(alive)), key=cost.__getitem__)
-        best[j], back[j] = cost[k] + penalty, alive[k]
-        if j < n:
-            keep = [(a, c + step[j - 1]) for a, c in zip(alive, cost, strict=True) if c + step[j - 1] < best[j]]
-            alive, cost = [a for a, _ in keep] + [j], [c for _, c in keep] + [float(best[j])]
-    starts, j = [], n
-    while j > 0:
-        j = int(back[j])
-        starts.append(j)
+    n = len(one)
+    if not n:
+        return []
+    back = [0] * n
+    best = 0.0  # of all events before k
+    far, far_at = float("inf"), 0  # cheapest way whose last segment has two events or more
+    last, last_at = float("inf"), 0  # the way whose last segment is event k - 1 alone
+    for k in range(n):
+        longer = far + min(one[k], two[k])
+        pair = last + one[k]
+        far, far_at = (pair, last_at) if pair <= longer else (longer, far_at)
+        last, last_at = best + penalty, k
+        best, back[k] = (last, k) if last <= far else (far, far_at)
+    starts, k = [], n - 1
+    while k >= 0:
+        starts.append(back[k])
+        k = back[k] - 1
     return starts[::-1]
 
 
-_COLS = ["plan_id", "shot_no", "start", "stop", "visual", "typography_text"]
 _OUT = (
     "plan_id string, part int, ord int, at_head boolean, at_tail boolean, first_no int, last_no int, n long, first_start double, last_start double, stop double, "
-    "head_visual string, head_text string, tail_visual string, tail_text string, visual string, typography_text string"
+    "look string, head_text string, tail_text string, visual string, typography_text string"
 )
 
 
-def _pieces(plan: str, b: pd.DataFrame) -> list[tuple]:
-    """Segments of one stretch of a plan."""
-    v = [x.strip().lower() if x is not None else None for x in b["visual"]]
+def _pieces(b: pd.DataFrame, chains: bool) -> list[list]:
+    """Segments of one block: events of one plan and visual in a row. With ``chains``, a segment is then cut wherever two
+    neighbours aren't nearly the same."""
     t = [key_text(x) for x in b["typography_text"]]
-    step = np.array([dissimilarity(v[i], t[i], v[i + 1], t[i + 1]) for i in range(len(v) - 1)])
-    at = segment(step) + [len(v)]
+    n = len(t)
+    one = [0.0] + [dissimilarity(t[k - 1], t[k]) for k in range(1, n)]
+    two = [0.0] * min(n, 2) + [dissimilarity(t[k - 2], t[k]) if one[k] > NEAR else one[k] for k in range(2, n)]
+    at = segment(one, two)
+    if chains:
+        at = sorted({*at, *(k for k in range(1, n) if one[k] > NEAR)})
+    at.append(n)
+    plan, look = b["plan_id"].iloc[0], b["look"].iloc[0]
     no, st, en, vis, txt = (b[c].tolist() for c in ("shot_no", "start", "stop", "visual", "typography_text"))
     out = []
     for a, z in zip(at, at[1:], strict=False):
         ends = [e for e in en[a:z] if e is not None and e == e]
-        out.append([plan, False, False, no[a], no[z - 1], z - a, st[a], st[z - 1], max(ends) if ends else None, v[a], t[a], v[z - 1], t[z - 1], vis[a], txt[a]])
+        out.append([plan, False, False, no[a], no[z - 1], z - a, st[a], st[z - 1], max(ends) if ends else None, look, t[a], t[z - 1], vis[a], txt[a]])
     return out
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments of a sorted partition. Of an entity split over Arrow batches, only the last segment is carried on."""
-    from pyspark import TaskContext
-
-    part, order = TaskContext.get().partitionId(), 0
-    open_: list | None = None  # last segment so far; it may go on in the next batch
-    rows: list[list] = []
-    for b in batches:
-        b = b.astype({"visual": object, "typography_text": object}).where(b.notna(), None)
-        for plan, g in b.groupby("plan_id", sort=False):
-            segs = _pieces(plan, g)
-            if open_ is None:
-                segs[0][1] = True  # the partition's first
-            elif open_[0] == plan and dissimilarity(open_[11], open_[12], segs[0][9], segs[0][10]) < PENALTY:
-                s = segs[0]
-                stops = [x for x in (open_[8], s[8]) if x is not None]
-                open_[4], open_[5], open_[7], open_[8], open_[11], open_[12] = s[4], open_[5] + s[5], s[7], max(stops, default=None), s[11], s[12]
-                segs = [open_, *segs[1:]]
-            else:
-                rows.append(open_)
-            rows += segs[:-1]
-            open_ = segs[-1]
-        out, rows = rows, []
-        yield _frame(out, part, order)
-        order += len(out)
-    if open_ is not None:
-        open_[2] = True  # the partition's last
-        yield _frame([open_], part, order)
-
-
-def _frame(rows: list[list], part: int, order: int) -> pd.DataFrame:
-    names = [x.split()[0] for x in _OUT.split(", ")]
-    return pd.DataFrame([[r[0], part, order + i, *r[1:]] for i, r in enumerate(rows)], columns=names)
-
-
-def event_runs(shots: DataFrame, least: int = 2) -> DataFrame:
+def _segmenter(chains: bool, least: int):
+    """Segments of a sorted partition: those of ``least`` events and the partition's first and last one."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, order, first = TaskContext.get().partitionId(), 0, True
+        kept: list[pd.DataFrame] = []  # the block at the end, which may go on in the next batch
+
+        def rows(b: pd.DataFrame, last: bool) -> pd.DataFrame:
+            nonlocal order, first
+            plan, look = b["plan_id"].to_numpy(object), b["look"].to_numpy(object)
+            new = np.ones(len(b) + 1, bool)
+            new[1:-1] = (plan[1:] != plan[:-1]) | (look[1:] != look[:-1]) | (look[1:] == None)  # noqa: E711
+            at = np.flatnonzero(new)
+            out = []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                if j - i >= least or (first and not i) or (last and j == len(b)):
+                    segs = _pieces(b.iloc[i:j], chains)
+                    segs[0][1], segs[-1][2] = first and not i, last and j == len(b)
+                    out += [s for s in segs if s[5] >= least or s[1] or s[2]]
+            first = False
+            order += len(out)
+            return pd.DataFrame([[r[0], part, order - len(out) + i, *r[1:]] for i, r in enumerate(out)], columns=[x.split()[0] for x in _OUT.split(", ")])
+
+        for b in batches:
+            if not len(b):
+                continue
+            b = b.astype({"visual": object, "typography_text": object}).where(b.notna(), None)
+            b["look"] = [x.strip().lower() if x is not None else None for x in b["visual"]]
+            plan, look = b["plan_id"].to_numpy(object), b["look"].to_numpy(object)
+            tail = (plan == plan[-1]) & (look == look[-1]) & (look != None)  # noqa: E711
+            odd = np.flatnonzero(~tail)
+            i = int(odd[-1]) + 1 if len(odd) else 0
+            i = min(i, len(b) - 1)
+            if i == 0 and kept and not (kept[-1]["plan_id"].iloc[-1] == plan[0] and kept[-1]["look"].iloc[-1] == look[0] and look[0] is not None):
+                yield rows(pd.concat(kept), False)
+                kept = []
+            elif i:
+                yield rows(pd.concat([*kept, b.iloc[:i]]), False)
+                kept = []
+            kept.append(b.iloc[i:])
+        if kept:
+            yield rows(pd.concat(kept), True)
+
+    return each
+
+
+def _joins(p: dict, r: dict) -> bool:
+    """Whether a partition's last segment goes on in the next one's first: cheaper joined than with a boundary."""
+    return p["at_tail"] and r["at_head"] and p["part"] != r["part"] and p["look"] is not None and p["look"] == r["look"] and dissimilarity(p["tail_text"], r["head_text"]) < PENALTY
+
+
+def event_runs(shots: DataFrame, least: int = 2, chains: bool = False) -> DataFrame:
     """One row per run of at least ``least`` shots: ``(plan_id, first_shot_no, last_shot_no, n_shots, start, end, visual,
     typography_text)``; ``start`` to ``end`` is the time that the run covers.
 
+    With ``chains`` a run holds only shots nearly the same as the one before, each by the rule of equal or one-letter
+    differences. Two such neighbours are always in one segment: parting them saves less than a boundary costs. Across the
+    border of two tasks, runs are joined where the shots beside it are nearly the same.
+
     Shots are ordered by ``start``, then ``shot_no``. Defined results: shots with a null plan, number or ``start`` are left
     out; a null ``visual`` equals nothing; a null ``typography_text`` counts as blank; rows repeated under one key count
     once (the earliest ``created_at``); an empty table gives no rows; extra columns aren't looked at.
@@ -154,7 +196,7 @@ def event_runs(shots: DataFrame, least: int = 2) -> DataFrame:
         .groupBy("plan_id", "shot_no").agg(F.min("r").alias("r"))
         .select("plan_id", "shot_no", "r.start", "r.stop", "r.visual", "r.typography_text")
     )
-    segs = cut(once.repartitionByRange("plan_id", "start", "shot_no").sortWithinPartitions("plan_id", "start", "shot_no").mapInPandas(_segments, _OUT))
+    segs = cut(once.repartitionByRange("plan_id", "start", "shot_no").sortWithinPartitions("plan_id", "start", "shot_no").mapInPandas(_segmenter(chains, least), _OUT))
     # a stretch's head and tail segment may go on in the neighbouring partition; the others are final
     inner = segs.where("NOT at_head AND NOT at_tail")
     border = segs.where("at_head OR at_tail")
@@ -172,9 +214,9 @@ def _join(b: pd.DataFrame) -> pd.DataFrame:
     out: list[dict] = []
     for r in b.to_dict("records"):
         p = out[-1] if out else None
-        if p and p["at_tail"] and r["at_head"] and p["part"] != r["part"] and dissimilarity(p["tail_visual"], p["tail_text"], r["head_visual"], r["head_text"]) < PENALTY:
+        if p and _joins(p, r):
             stops = [x for x in (p["stop"], r["stop"]) if x is not None]
-            p |= {k: r[k] for k in ("part", "at_tail", "last_no", "last_start", "tail_visual", "tail_text")} | {"n": p["n"] + r["n"], "stop": max(stops, default=None)}
+            p |= {k: r[k] for k in ("part", "at_tail", "last_no", "last_start", "tail_text")} | {"n": p["n"] + r["n"], "stop": max(stops, default=None)}
         else:
             out.append(r)
     return pd.DataFrame(out, columns=b.columns)
