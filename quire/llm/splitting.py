@@ -1,12 +1,12 @@
 """Splitting oversized chunks at natural boundaries (problem 3).
 
 Lexical-cohesion segmentation: the words of an oversized chunk are compared in sliding blocks left and right of every
-possible boundary; valleys of the similarity mark topic boundaries. Within each window that the size limit leaves, the cut
-goes to the deepest valley, where the ends of paragraphs and sentences are preferred to places inside a sentence. Each
-piece opens with the last words of the piece before it.
+natural boundary (the end of a paragraph, line or sentence); valleys of the similarity mark topic boundaries. Within each
+window that the size limit leaves, the cut goes to the deepest valley. Where a window has no natural boundary, all its gaps
+between words count. Each piece opens with the last words of the piece before it.
 
-Everything is per chunk; only chunks over the limit reach Python, which a necessary condition on the text's length
-(checked JVM-side) and the exact word count decide.
+Everything is per chunk; only chunks that may exceed the limit by their text's length (checked JVM-side) reach Python, and
+those that the segmentation cuts come out.
 """
 
 from __future__ import annotations
@@ -36,45 +36,37 @@ def most_words(limit: int = LIMIT) -> int:
     return n
 
 
-def cohesion(ids: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """For each gap before word i (0 < i < n), the cosine of the word counts of the blocks beside it, normalised to the
-    blocks' lengths. Computed for all gaps at once: what entering and leaving words change is accumulated."""
-    n, v = len(ids), int(ids.max()) + 1
-    left, right = np.zeros(v), np.zeros(v)
-    np.add.at(right, ids[:block], 1)
-    dot, ll, rr = 0.0, 0.0, float((right**2).sum())
-    out = np.zeros(n)
-    lw, rw, src = left.tolist(), right.tolist(), ids.tolist()
-    for i in range(1, n):
-        w = src[i - 1]  # moves from the right block to the left one
-        dot += rw[w] - lw[w] - 1
-        rr -= 2 * rw[w] - 1
-        ll += 2 * lw[w] + 1
-        rw[w] -= 1
-        lw[w] += 1
-        if i + block - 1 < n:
-            w = src[i + block - 1]
-            dot += lw[w]
-            rr += 2 * rw[w] + 1
-            rw[w] += 1
-        if i - 1 - block >= 0:
-            w = src[i - 1 - block]
-            dot -= rw[w]
-            ll -= 2 * lw[w] - 1
-            lw[w] -= 1
-        out[i] = dot / (ll * rr) ** 0.5 if ll > 0 and rr > 0 else 0.0
+#: Gaps compared at once.
+_SLICE = 2048
+
+
+def cohesion(ids: np.ndarray, gaps: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """For the gap before each word of ``gaps``, the cosine of the word counts of the blocks beside it."""
+    n = len(ids)
+    pad = -1 - np.arange(block)  # equal to no word and not to each other
+    known = np.concatenate([pad, ids, pad - block])
+    out = np.zeros(len(gaps))
+    for i in range(0, len(gaps), _SLICE):
+        g = gaps[i : i + _SLICE]
+        left, right = known[g[:, None] + np.arange(block)], known[g[:, None] + block + np.arange(block)]
+        same = lambda x, y: (x[:, :, None] == y[:, None, :]).sum((1, 2), dtype=np.int64)
+        ll, rr = same(left, left) - np.maximum(0, block - g), same(right, right) - np.maximum(0, g + block - n)
+        out[i : i + _SLICE] = same(left, right) / np.sqrt(ll * rr)
     return out
 
 
 def depths(sim: np.ndarray) -> np.ndarray:
     """Depth of the valley at each gap: how far the similarity rises to the nearest peaks on both sides."""
     n = len(sim)
-    up_left, up_right = np.zeros(n), np.zeros(n)
+    up_left, up_right = sim.tolist(), sim.tolist()
+    s = sim.tolist()
     for i in range(1, n):
-        up_left[i] = max(sim[i], up_left[i - 1]) if sim[i - 1] >= sim[i] else sim[i]
+        if s[i - 1] >= s[i]:
+            up_left[i] = up_left[i - 1]
     for i in range(n - 2, -1, -1):
-        up_right[i] = max(sim[i], up_right[i + 1]) if sim[i + 1] >= sim[i] else sim[i]
-    return (up_left - sim) + (up_right - sim)
+        if s[i + 1] >= s[i]:
+            up_right[i] = up_right[i + 1]
+    return np.array(up_left) + np.array(up_right) - 2 * sim
 
 
 def boundaries(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -94,17 +86,22 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
         return [(0, n)]
     known: dict[str, int] = {}
     ids = np.array([known.setdefault(text[a:b].lower().strip(".,،؛:!?؟«»\"'()[]"), len(known)) for a, b in spans])
-    depth, natural = depths(cohesion(ids)), boundaries(text, spans)
+    kind = boundaries(text, spans)
+    natural = np.flatnonzero(kind)
+    depth = depths(cohesion(ids, natural))
     out, at = [], 0
     while n - at > most - (lap if at else 0):
         room = most - (lap if at else 0)
-        lo, hi = at + max(1, room // 2), at + room  # a piece is at least half full
-        win = np.arange(lo, hi + 1)
-        win = win[win < n]
-        best = natural[win].max()
-        # the kind of boundary comes first, then the valley's depth, then the fuller piece
-        score = np.minimum(natural[win], 1 if best < 2 else 2) * 10 + depth[win]
-        cut = int(win[len(win) - 1 - int(np.argmax(score[::-1]))])
+        half, end = at + max(1, room // 2), at + room  # a piece is at least half full, where that is natural
+        i, j, k = np.searchsorted(natural, [half, at + 1, end + 1])
+        i = i if i < k else j
+        if i < k:
+            gaps, deep = natural[i:k], depth[i:k]
+        else:
+            gaps = np.arange(half, end + 1)
+            deep = depths(cohesion(ids, gaps))
+        # the deepest valley; of equally deep ones the more natural boundary, then the fuller piece
+        cut = int(gaps[np.lexsort((gaps, kind[gaps], np.round(deep, 12)))[-1]])
         out.append((at, cut))
         at = cut
     return [*out, (at, n)]
@@ -136,8 +133,9 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
         for b in batches:
             rows = []
             for book, no, chapter, t in zip(b["book_id"], b["chunk_id"], b["chapter"], b["text"], strict=True):
-                if tokens(len(t.split())) > limit:
-                    for i, x in enumerate(pieces(t, limit, overlap), 1):
+                cut = pieces(t, limit, overlap)
+                if len(cut) > 1:
+                    for i, x in enumerate(cut, 1):
                         w = len(x.split())
                         rows.append((book, no, chapter, i, w, tokens(w), x))
             yield pd.DataFrame(rows, columns=["book_id", "chunk_id", "chapter", "piece_no", "n_words", "token_est", "text"])

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quire.llm import splitting
 from quire.llm.splitting import cohesion, cuts, most_words, pieces, pieces_once, split_chunks, tokens
 
 SCHEMA = "book_id string, chunk_id int, chapter string, text string, token_est int, piece_no string"
@@ -23,7 +24,7 @@ def test_token_estimate():
 
 def test_cohesion_against_counting():
     ids = np.array([random.Random(2).randrange(9) for _ in range(60)])
-    got = cohesion(ids, 7)
+    got = np.concatenate([[0], cohesion(ids, np.arange(1, 60), 7)])
     for i in range(1, 60):
         a, b = np.bincount(ids[max(0, i - 7) : i], minlength=9), np.bincount(ids[i : i + 7], minlength=9)
         assert abs(got[i] - (a @ b) / np.sqrt((a @ a) * (b @ b))) < 1e-9
@@ -48,6 +49,25 @@ def test_valley_is_found():
     assert abs(cuts(t)[0][1] - 700) <= 2
 
 
+def test_cut_is_the_deepest_natural_valley():
+    """Of many sentence ends the one between two vocabularies is taken, and no place inside a sentence."""
+    say = lambda v, n: " ".join(" ".join(f"{v}{(7 * i + k) % 40}" for k in range(9)) + f" {v}end." for i in range(n))
+    t = say("a", 78) + " " + say("b", 60)
+    assert cuts(t)[0][1] == 780
+    none = " ".join(f"a{i % 20}" for i in range(1400))
+    assert len(cuts(none)) == 2
+    early = "x. " * 100 + "y " * 1400
+    assert cuts(early)[0][1] == 100
+
+
+def test_pieces_come_from_the_segmentation(monkeypatch):
+    t = text(1500)
+    monkeypatch.setattr(splitting, "cohesion", lambda ids, gaps, block=40: np.zeros(len(gaps)))
+    flat = splitting.cuts(t)
+    monkeypatch.undo()
+    assert flat != splitting.cuts(t)
+
+
 def test_operator(spark):
     long = text(1300)
     rows = [("b", 1, None, long, 3, "x"), ("b", 1, None, long, 3, "x"), ("b", 2, "c", "short", 9999, "x"), ("b", 3, "c", None, 1, "x"), ("b", 4, "c", "", 1, "x"), ("b", 5, "c", "x" * 9000, 1, "x")]
