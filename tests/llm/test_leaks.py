@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from quire.llm.leaks import clean_documents, leaked_items, leaked_passages, prefix_ranks
+from quire.llm.leaks import clean_documents, leaked_items, leaked_passages, shard_matches, suffix_array
 
 DOC = "doc_id long, text string, item_id int"
 ITEM = "item_id long, text string, doc_id int"
@@ -31,15 +31,25 @@ def brute(docs, items, k):
     return out
 
 
-def test_prefix_ranks_order_like_tuples():
+def test_suffix_array_orders_like_tuples():
     rng = np.random.default_rng(1)
-    ids = rng.integers(1, 4, 300)
-    for k in (2, 5, 8, 12):
-        at = np.arange(300 - k)
-        r = np.unique(prefix_ranks(ids, at, k), return_inverse=True)[1]
-        tup = [tuple(ids[i : i + k]) for i in at]
-        known = {t: i for i, t in enumerate(sorted(set(tup)))}
-        assert [known[t] for t in tup] == r.tolist()
+    for words, k in ((4, 3), (2, 8), (30, 1), (2, 1)):
+        ids = rng.integers(0, words, 400)
+        ids[-1] = ids[0] = 0
+        ends = [next(j for j in range(i, 400) if ids[j] == 0) for i in range(400)]
+        want = [i for i in range(400) if ends[i] - i >= k]
+        sa = suffix_array(ids, k).tolist()
+        tup = [tuple(ids[i : ends[i]]) for i in sa]
+        assert sorted(sa) == want and tup == sorted(tup)
+    assert len(suffix_array(np.zeros(3, int), 1)) == 0
+
+
+def test_repeated_words_give_few_pairs():
+    ids = np.array([0] + [1] * 3000 + [0])
+    n, longest = 0, 0
+    for a, _, length in shard_matches(ids, ids, 12, 500):
+        n, longest = n + len(a), max(longest, length.max())
+    assert n < 7000 and longest == 3000
 
 
 def test_against_brute_force(spark):
@@ -56,6 +66,7 @@ def test_against_brute_force(spark):
     d, i = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
     got = {(r.doc_id, r.item_id): r.n_words for r in leaked_passages(d, i, 8).collect()}
     assert got == brute(docs, items, 8) and (52, 0) in got
+    assert got == {(r.doc_id, r.item_id): r.n_words for r in leaked_passages(d, i, 8, block_words=60).collect()}
     r = next(r for r in leaked_passages(d, i, 8).collect() if r.doc_id == 52 and r.item_id == 0)
     assert (r.n_words, r.doc_word, r.item_word) == (30, 0, 0)
     assert {r.doc_id for r in clean_documents(d, i, 8).collect()} == {x[0] for x in docs} - {k for k, _ in got}
