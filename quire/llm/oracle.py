@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import confusables, garbled, truncation
+from . import confusables, garbled
 
 _MARKS = "[\\x{0610}-\\x{061A}\\x{0640}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E8}\\x{06EA}-\\x{06ED}]"
 
@@ -74,16 +74,14 @@ SELECT DISTINCT 'page' AS record_type, book_id, page_no AS item_no FROM page WHE
 UNION ALL SELECT DISTINCT 'chunk', book_id, chunk_id FROM chunk WHERE text IS NOT NULL AND {_variant('text')}"""
 
 _SPACE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+# A letter's closing line is short and begins as those of other letters do, or gives a year.
 _P10 = f"""
-WITH t AS (SELECT DISTINCT doc_id, kind, text, regexp_replace(text, '{_SPACE}+$', '') AS t FROM documents WHERE text IS NOT NULL),
-l AS (SELECT *, trim(string_split(t, chr(10))[-1]) AS last FROM t),
-e AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN kind IN ('heading', 'caption') THEN 'complete' WHEN regexp_matches(t, '{_re2(truncation.MARK)}') THEN 'mark'
-  WHEN regexp_matches(t, '{_re2(truncation.TERMINAL)}') THEN 'complete'
-  WHEN kind = 'letter' AND len(string_split_regex(last, '\\s+')) <= 6 AND (starts_with(last, '—') OR starts_with(last, '- ') OR regexp_matches(last, '^\\P{{L}}*\\p{{Nd}}{{4}}\\P{{L}}*$')
-    OR regexp_matches(last, '^(?:{"|".join(truncation.CLOSINGS)})(?:$|[\\s,،])')) THEN 'complete' ELSE 'open' END AS evidence FROM l),
-inside AS (SELECT DISTINCT a.doc_id FROM e a JOIN t b ON left(a.t, 16) = left(b.text, 16) AND a.doc_id <> b.doc_id AND length(a.t) >= 16 AND length(b.text) > length(a.t) AND starts_with(b.text, a.t)
-  WHERE a.kind = 'letter' AND a.evidence = 'complete' AND regexp_matches(a.text, '[\\p{{L}}\\p{{N}}]$') AND regexp_matches(b.text[length(a.t) + 1], '[\\p{{L}}\\p{{N}}]'))
-SELECT doc_id FROM e WHERE evidence IN ('mark', 'open') UNION SELECT doc_id FROM inside"""
+WITH t AS (SELECT DISTINCT doc_id, kind, regexp_replace(text, '{_SPACE}+$', '') AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, trim(string_split(t, chr(10))[-1]) AS last FROM t WHERE t <> ''),
+e AS (SELECT *, regexp_matches(t, '(\\.\\.\\.|…|\\x{{FFFD}})( ?\\])?$') AS mark, regexp_matches(t, '[.!?؟][^\\p{{L}}\\p{{N}}.!?؟,،;؛:]*$') AS ended, string_split_regex(last, '\\s+') AS w FROM l),
+c AS (SELECT w[1] AS first FROM e WHERE kind = 'letter' AND NOT ended AND NOT mark AND len(w) <= 5 GROUP BY w[1] HAVING count(*) >= 2)
+SELECT doc_id FROM e WHERE mark OR NOT (ended OR coalesce(kind IN ('heading', 'caption'), false)
+  OR coalesce(kind = 'letter' AND (regexp_matches(last, '^\\p{{Nd}}+$') OR (len(w) <= 5 AND w[1] IN (SELECT first FROM c))), false))"""
 
 
 def oracle_sql() -> dict[str, str]:
