@@ -1,8 +1,12 @@
 """One consistent form for text that looks the same but is written with different characters (problem 6).
 
 *Skeleton*: decompose (NFKD, which also undoes full-width, ligature and positional presentation forms), replace every
-character by its prototype from a look-alike table, drop what isn't seen, decompose again. Texts with equal skeletons
-look alike and are grouped by its hash.
+character by its prototype from a look-alike table, drop what isn't seen, decompose again. Words with equal skeletons
+look alike and are grouped by it.
+
+A word is *unsettled* if it isn't itself the composed skeleton: some character of it isn't its own prototype, isn't seen or
+stands apart from what it composes with. Unsettled words are the candidates for variants; an exact check of the kinds of
+variant follows on them alone, since words wholly in another alphabet and ordinary quotes and dashes aren't variants.
 
 *Form*: the consistent text itself - composed, ordinary spaces, no unseen marks, look-alike letters in mixed words
 replaced by those of the word's own script, Persian letter forms replaced by the Arabic ones. Unlike the skeleton it
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as u
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,11 +30,21 @@ from .garbled import is_garbled
 # Letters of Cyrillic and Greek that look like a Latin one.
 LOOKALIKES = dict(
     zip(
-        "авекмнорстухѕіјһԁԛԝАВЕКМНОРСТУХЅІЈԌ" + "αβγεικνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-        "aвeкмнopcтyxsijhdqwABEKMHOPCTYXSIJG" + "aβyeikvoptuxωABEZHIKMNOPTYX",
+        "авекмнорстухѕіјһԁԛԝүґАВЕКМНОРСТУХЅІЈԌԚԜҮ" + "αβγεικνορτυχωηϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϿ",
+        "aвeкмнopcтyxsijhdqwyrABEKMHOPCTYXSIJGQWY" + "aβyeikvoptuxωηcjABEZHIKMNOPTYXCC",
+        strict=True,
+    )
+)
+# Other letters that look like a Latin one - phonetic and small capital ones, Armenian, Cherokee, Coptic.
+FAR_LOOKALIKES = dict(
+    zip(
+        "ɑɡɩıʋɪʏꞵƽⅼℓ" + "օսոհցզյՍՕ" + "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ" + "ⲟⲢⲤⲞⲦⲬⲎ",
+        "agiivɪyβslℓ" + "ounhgqjUO" + "ABCDEHJKLMPRSTVWZ" + "oPCOTXH",
         strict=True,
     )
 )
+# ASCII characters that look like others; they count for the skeleton only.
+ASCII_LOOKALIKES = {"0": "O", "1": "l", "I": "l", "|": "l", "m": "rn"}
 # Persian and Urdu letter forms and the Arabic letters they stand for.
 ARABIC_FORMS = {"ک": "ك", "ڪ": "ك", "ی": "ي", "ې": "ي", "ے": "ي", "ھ": "ه", "ہ": "ه", "ە": "ه", "ۀ": "ه", "ۃ": "ة"}
 # Signs that look alike.
@@ -43,13 +58,6 @@ _LATIN = r"A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1ef
 _OTHER = r"\u0370-\u0373\u0376-\u037d\u037f-\u03ff\u1f00-\u1fff\u0400-\u0481\u048a-\u052f"
 _MARK = r"\u0300-\u036f"
 _PERSIAN = "".join(ARABIC_FORMS)
-#: A case must have a character outside those that are always plain and composed, or two Arabic marks in a row
-#: (whose order may not be the canonical one). Tried first, also JVM-side; it misses nothing.
-MAYBE = (
-    r"[^\u0000-\u009f\u00a1-\u02ff\u060c\u061b\u061f\u0621-\u0652\u0660-\u066f\u0671-\u06a8\u06ab-\u06bd\u06bf\u06f0-\u06f9"
-    r"\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2500-\u25ff\ufffd]|[\u064b-\u0652]{2}"
-)
-
 _KINDS = (
     ("full_width", re.compile(f"[{FULL_WIDTH}]")),
     ("unseen", re.compile(f"[{UNSEEN}]")),
@@ -58,7 +66,6 @@ _KINDS = (
     ("mixed", re.compile(f"[{_LATIN}][{_MARK}]*[{UNSEEN}]*[{_OTHER}]|[{_OTHER}][{_MARK}]*[{UNSEEN}]*[{_LATIN}]")),
     ("arabic_form", re.compile(f"[{_PERSIAN}]")),
 )
-_MAYBE = re.compile(MAYBE)
 _DROP = re.compile(f"[{UNSEEN}]")
 _SPACE = re.compile(f"[{SPACES}]")
 _WIDE = re.compile(f"[{FULL_WIDTH}{PRESENTATION}]+")
@@ -67,30 +74,58 @@ _IS_LATIN, _IS_OTHER = re.compile(f"[{_LATIN}]"), re.compile(f"[{_OTHER}]")
 _TO_LATIN = {ord(a): b for a, b in LOOKALIKES.items()} | {ord("υ"): "u", ord("ν"): "v", ord("γ"): "y"}
 _FROM_LATIN = {ord(b): a for a, b in reversed(LOOKALIKES.items()) if b.isascii()}
 _TO_ARABIC = {ord(a): b for a, b in ARABIC_FORMS.items()}
-_PROTOTYPE = {ord(a): b for a, b in (LOOKALIKES | ARABIC_FORMS | SIGNS).items()}
+_PROTOTYPE = {ord(a): b for a, b in (LOOKALIKES | FAR_LOOKALIKES | ARABIC_FORMS | SIGNS).items()}
+_WHOLE = _PROTOTYPE | {ord(a): b for a, b in ASCII_LOOKALIKES.items()}
+_PARTS = re.compile(r"[^ \t\n\r]+")
+_EDGE = " \t\n\r.,;:!?\"'()[]{}«»،؛؟…-–—*|"
 
 
-def kinds(text: str | None) -> list[str]:
-    """Which kinds of variant characters ``text`` holds; none for null and empty texts."""
-    if not text or not _MAYBE.search(text):
-        return []
-    out = [k for k, p in _KINDS if p.search(text)]
-    if not u.is_normalized("NFC", text):
-        out.append("uncomposed")
-    return out
-
-
-def skeleton(text: str | None) -> str | None:
+def skeleton(text: str | None, table: dict[int, str] = _WHOLE) -> str | None:
     """Prototype of how ``text`` looks; null for null."""
     if text is None:
         return None
     if text.isascii():
-        return text.translate(_PROTOTYPE)
+        return text.translate(table)
     s = _SPACE.sub(" ", _DROP.sub("", text))
-    s = u.normalize("NFKD", s).translate(_PROTOTYPE)
+    s = u.normalize("NFKD", s).translate(table)
     return u.normalize("NFKD", s)
 
 
+def settled(word: str) -> bool:
+    """Whether ``word`` is its own composed skeleton; ASCII characters are their own prototypes here."""
+    return word.isascii() or u.normalize("NFC", skeleton(word, _PROTOTYPE)) == word
+
+
+class _Settled(dict):
+    """``settled`` of words seen, kept up to a bound."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = settled(word)
+        return out
+
+
+_KNOWN = _Settled()
+
+
+def unsettled(text: str) -> list[str]:
+    """The words of ``text`` that aren't settled."""
+    return [] if text.isascii() else [w for w in _PARTS.findall(text) if not _KNOWN[w]]
+
+
+def kinds(text: str | None) -> list[str]:
+    """Which kinds of variant characters ``text`` holds; none for null and empty texts."""
+    words = unsettled(text) if text else []
+    if not words:
+        return []
+    odd = " ".join(words)
+    out = [k for k, p in _KINDS if p.search(odd)]
+    if not u.is_normalized("NFC", odd):
+        out.append("uncomposed")
+    return out
+
+
 def _one_script(m: re.Match) -> str:
     w = m.group()
     latin, other = len(_IS_LATIN.findall(w)), len(_IS_OTHER.findall(w))
@@ -101,7 +136,7 @@ def _one_script(m: re.Match) -> str:
 
 def form(text: str | None) -> str | None:
     """The consistent form of ``text``; null for null. Texts without variants are returned as they are."""
-    if not text or not _MAYBE.search(text):
+    if not text or not unsettled(text):
         return text
     s = _SPACE.sub(" ", _DROP.sub("", text))
     s = _WIDE.sub(lambda m: u.normalize("NFKC", m.group()), s)
@@ -109,11 +144,11 @@ def form(text: str | None) -> str | None:
     return u.normalize("NFC", _MIXED_WORD.sub(_one_script, s))
 
 
-def _records(pages: DataFrame, chunks: DataFrame, only_maybe: bool) -> DataFrame:
+def _records(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = pages.select(F.lit("page").alias("record_type"), "book_id", F.col("page_no").alias("item_no"), F.col("raw_text").alias("text")).unionAll(
         chunks.select(F.lit("chunk").alias("record_type"), "book_id", F.col("chunk_id").alias("item_no"), "text")
     )
-    return rows.where(F.col("text").rlike(MAYBE)) if only_maybe else rows.where("text IS NOT NULL")
+    return rows.where("text IS NOT NULL")
 
 
 def variant_texts(pages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -131,10 +166,11 @@ def variant_texts(pages: DataFrame, chunks: DataFrame) -> DataFrame:
                 if k and not (kind == "page" and is_garbled(t)):
                     keep.append(i)
                     out.append((k, xxhash.xxh3_64_intdigest(skeleton(t)) - (1 << 63), form(t)))
-            yield b.iloc[keep].drop(columns="text").assign(kinds=[x[0] for x in out], skeleton_hash=[x[1] for x in out], form=[x[2] for x in out])
+            if keep:
+                yield b.iloc[keep].drop(columns="text").assign(kinds=[x[0] for x in out], skeleton_hash=[x[1] for x in out], form=[x[2] for x in out])
 
     schema = "record_type string, book_id string, item_no int, kinds array<string>, skeleton_hash long, form string"
-    return _records(pages, chunks, True).mapInPandas(find, schema)
+    return _records(pages, chunks).mapInPandas(find, schema)
 
 
 def consistent_texts(pages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -148,20 +184,28 @@ def consistent_texts(pages: DataFrame, chunks: DataFrame) -> DataFrame:
             h = [xxhash.xxh3_64_intdigest(skeleton(t)) - (1 << 63) for t in b["text"]]
             yield b.assign(form=[form(t) for t in b["text"]], skeleton_hash=h).drop(columns="text")
 
-    return _records(pages, chunks, False).mapInPandas(each, "record_type string, book_id string, item_no int, form string, skeleton_hash long")
+    return _records(pages, chunks).mapInPandas(each, "record_type string, book_id string, item_no int, form string, skeleton_hash long")
 
 
 def lookalike_groups(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Originals that look alike but differ: ``(skeleton_hash, n_texts, n_spellings, form)`` of each group of several spellings.
+    """Words that look alike but are written differently: ``(skeleton, form, n_words, n_spellings)`` of each skeleton of
+    several spellings; ``form`` is that of the commonest spelling.
 
-    Counted by partial aggregation over hashes: a group's texts are never gathered.
+    Words are what white space parts, without the signs around them. A task counts a batch's spellings before anything is
+    shuffled, and a group's words are never gathered: of each spelling one row with its number goes on.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            t = [x for x in b["text"] if x]
-            yield pd.DataFrame({"skeleton_hash": [xxhash.xxh3_64_intdigest(skeleton(x)) - (1 << 63) for x in t], "spelling": [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in t]})
+            n = Counter(w.strip(_EDGE) for t in b["text"] for w in _PARTS.findall(t))
+            n.pop("", None)
+            yield pd.DataFrame({"skeleton": [skeleton(w) for w in n], "spelling": list(n), "n": list(n.values())}).astype({"n": "int64"})
+
+    per = _records(pages, chunks).mapInPandas(each, "skeleton string, spelling string, n long").groupBy("skeleton", "spelling").agg(F.sum("n").alias("n"))
+    several = per.groupBy("skeleton").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_spellings"), F.max_by("spelling", F.struct("n", "spelling")).alias("spelling")).where("n_spellings > 1")
+
+    def formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(form=[form(w) for w in b["spelling"]])[["skeleton", "form", "n_words", "n_spellings"]]
 
-    rows = _records(pages, chunks, False).mapInPandas(each, "skeleton_hash long, spelling long")
-    per = rows.groupBy("skeleton_hash", "spelling").agg(F.count("*").alias("n"))
-    return per.groupBy("skeleton_hash").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_spellings")).where("n_spellings > 1")
+    return several.mapInPandas(formed, "skeleton string, form string, n_words long, n_spellings long")

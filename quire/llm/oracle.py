@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import confusables, garbled
+from . import garbled
 
 _MARKS = "[\\x{0610}-\\x{061A}\\x{0640}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E8}\\x{06EA}-\\x{06ED}]"
 
@@ -62,11 +62,18 @@ def _re2(pattern: str) -> str:
 
 _GARBLED = " OR ".join(f"regexp_matches(coalesce(raw_text, ''), '{_re2(p)}')" for p in garbled.PARTS)
 _P4 = f"SELECT DISTINCT book_id, page_no FROM page WHERE {_GARBLED}"
-_VARIANT = "(" + " OR ".join([*(f"regexp_matches({{0}}, '{_re2(p.pattern)}')" for _, p in confusables._KINDS), "nfc_normalize({0}) <> {0}"]) + ")"
+_UNSEEN = "\\x{061C}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}"
+_BETWEEN = f"[\\x{{0300}}-\\x{{036F}}]*[{_UNSEEN}]*"
+_LATIN, _OTHER = "\\p{Latin}", "[\\p{Greek}\\p{Cyrillic}]"
+# full-width, unseen, other spaces, presentation forms, letter forms of Persian and Urdu, letters side by side
+_ODD = "|".join((
+    "[\\x{FF01}-\\x{FF5E}\\x{FFE0}-\\x{FFE6}]", f"[{_UNSEEN}]", "[\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]", "[\\x{FB00}-\\x{FDFF}\\x{FE70}-\\x{FEFC}]",
+    "[کڪیېےھہەۀۃ]", _LATIN + _BETWEEN + _OTHER, _OTHER + _BETWEEN + _LATIN,
+))
 
 
 def _variant(column: str) -> str:
-    return _VARIANT.replace("{0}", column)
+    return f"(regexp_matches({column}, '{_ODD}') OR nfc_normalize({column}) <> {column})"
 
 
 _P6 = f"""

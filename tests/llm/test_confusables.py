@@ -3,7 +3,8 @@ import unicodedata as u
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.confusables import _MAYBE, consistent_texts, form, kinds, lookalike_groups, skeleton, variant_texts
+from quire.llm import confusables
+from quire.llm.confusables import consistent_texts, form, kinds, lookalike_groups, settled, skeleton, unsettled, variant_texts
 
 PAGE = "book_id string, page_no int, raw_text string, form string"
 CHUNK = "book_id string, chunk_id int, text string, kinds string"
@@ -23,13 +24,26 @@ def test_form_and_skeleton():
     assert skeleton("pаge") == skeleton("page") and skeleton("ﬁn") == skeleton("fin") and skeleton("ک") == skeleton("ك")
 
 
+def test_skeleton_of_far_lookalikes():
+    for a, b in (("раураl", "paypal"), ("g00gle", "gOOgle"), ("rnodern", "modern"), ("ɑ", "a"), ("Ꭺ", "A"), ("ﬃ", "ffi"), ("e\u0301", "é"), ("a\u200bb", "ab"), ("ＡＢ", "AB")):
+        assert skeleton(a) == skeleton(b), a
+    assert settled("été") and settled("modern") and settled("قال") and not settled("Ꭺ") and not settled("e\u0301")
+
+
+def test_cases_come_from_the_skeleton(monkeypatch):
+    assert kinds("a\u200bb") and kinds("ک")
+    monkeypatch.setattr(confusables, "_KNOWN", confusables._Settled())
+    monkeypatch.setattr(confusables, "skeleton", lambda w, table=None: w)
+    assert not kinds("a\u200bb") and not kinds("ک")
+
+
 @given(st.text())
 @settings(max_examples=300, deadline=None)
 def test_form_is_composed_and_stable(t):
     f = form(t)
     assert form(f) == f
     if not u.is_normalized("NFC", t):
-        assert _MAYBE.search(t)
+        assert unsettled(t)
     assert u.is_normalized("NFC", f)
 
 
@@ -38,5 +52,5 @@ def test_operators(spark):
     c = spark.createDataFrame([("b", 1, "ｘ", "y"), ("b", 2, None, "y")], CHUNK)
     assert {tuple(r) for r in variant_texts(p, c).select("record_type", "book_id", "item_no").collect()} == {("page", "b", 1), ("chunk", "b", 1)}
     assert {r.item_no: r.form for r in consistent_texts(p, c).where("record_type = 'page'").collect()} == {1: "ab", 2: "ab", 4: "", 5: "d‚sert ab"}
-    assert [(r.n_texts, r.n_spellings) for r in lookalike_groups(p, c).collect()] == [(3, 2)]
+    assert [(r.skeleton, r.form, r.n_words, r.n_spellings) for r in lookalike_groups(p, c).collect()] == [("ab", "ab", 4, 2)]
     assert variant_texts(p.limit(0), c.limit(0)).collect() == []
