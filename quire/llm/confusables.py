@@ -199,6 +199,8 @@ def lookalike_groups(pages: DataFrame, chunks: DataFrame) -> DataFrame:
         for b in batches:
             n = Counter(w.strip(_EDGE) for t in b["text"] for w in _PARTS.findall(t))
             n.pop("", None)
+            if not n:
+                continue
             yield pd.DataFrame({"skeleton": [skeleton(w) for w in n], "spelling": list(n), "n": list(n.values())}).astype({"n": "int64"})
 
     per = _records(pages, chunks).mapInPandas(each, "skeleton string, spelling string, n long").groupBy("skeleton", "spelling").agg(F.sum("n").alias("n"))

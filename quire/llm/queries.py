@@ -23,7 +23,7 @@ def queries() -> dict[str, Query]:
         "p2_texts": lambda s, d: ocr.repaired_pages(t(s, d, "page"), t(s, d, "book")),
         "p3_found": lambda s, d: splitting.split_chunks(t(s, d, "chunk")).select("book_id", "chunk_id").distinct(),
         "p3_pieces": lambda s, d: splitting.pieces_once(t(s, d, "chunk")),
-        "p4_found": lambda s, d: garbled.garbled_pages(t(s, d, "page")).select(*keys).distinct(),
+        "p4_found": lambda s, d: garbled.affected_pages(t(s, d, "page"), texts=False).select(*keys).distinct(),
         "p4_restored": lambda s, d: garbled.garbled_pages(t(s, d, "page")),
         "p6_found": lambda s, d: confusables.variant_texts(t(s, d, "page"), t(s, d, "chunk")).select("record_type", "book_id", "item_no").distinct(),
         "p6_texts": lambda s, d: confusables.consistent_texts(t(s, d, "page"), t(s, d, "chunk")).distinct(),
