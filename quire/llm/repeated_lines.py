@@ -1,21 +1,21 @@
 """Lines repeated across one site's documents (problem 1).
 
 Numbers, dates and names in Latin letters are masked in a line (Arabic has no capitals that tell a name), the rest becomes a
-stream of letters. MinHash bands over its 5-letter shingles are the buckets of a locality-sensitive hash within each source.
-For exact repeats one band over the unmasked stream is enough: it is equal whenever all letters are, and the document
-frequency is then counted exactly. For near-duplicate classes ``BANDS`` bands of ``ROWS`` MinHashes, all of different hash
-functions, bring masked streams of likeness 0.8 together with a chance of 0.999; all pairs of a bucket are compared, and
-linked lines are one class.
-
-Scale: what is shuffled first is (bucket, book) as two numbers, aggregated on the map side to the least and the greatest
-book of each bucket (of two books on, they differ), so a notice on a third of all pages costs one row a map task. Only
-lines of buckets with two books or more - notices, not body text - are looked at further.
+stream of letters. Lines are clustered within each source by locality-sensitive hashing: ``BANDS`` bands of ``ROWS``
+MinHashes over 5-letter shingles, all of different hash functions, bring masked streams of likeness 0.8 together with a
+chance of 0.999; lines of a bucket are compared, and linked lines are one class. Classes whose lines stand in many books are
+removed from the texts. Lines whose letters recur exactly are then told among the lines of these classes.
+
+Scale: each page goes through Python once; what is written of a line is numbers. Shuffled are (bucket, value) pairs, aggregated
+on the map side to the least and the greatest value of each bucket (of two values on, they differ), so a notice on a third of
+all pages costs a few rows a map task. Only lines in buckets that two books or spellings share - notices, not body text - are
+looked at further, and only one line of each spelling is read again to be compared.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,28 +51,6 @@ def masked(text: str) -> str:
     return letters(_NAMES.sub("", _MONTHS.sub("", text)))
 
 
-def minhash_band(lines: list[str]) -> np.ndarray:
-    """One 64-bit band key a line: two MinHashes over its shingles, computed for all lines at once."""
-    if not lines:
-        return np.zeros(0, np.int64)
-    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE) for x in lines]
-    size = np.array([len(x) for x in lines])
-    buf = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        n = len(buf) - SHINGLE + 1
-        h = buf[:n] * _ODD[0]
-        for k in range(1, SHINGLE):
-            h += buf[k : n + k] * _ODD[k]
-        h ^= h >> np.uint64(29)
-        end = np.cumsum(size)
-        cuts = np.stack([end - size, end - SHINGLE + 1], 1).ravel()
-        if cuts[-1] >= n:
-            cuts = cuts[:-1]
-        one = np.minimum.reduceat(h * _ODD[3], cuts)[::2]
-        two = np.minimum.reduceat((h ^ _ODD[1]) * _ODD[4], cuts)[::2]
-        return (one * _ODD[0] ^ two * _ODD[2]).view(np.int64)
-
-
 #: Bands and MinHashes a band: two lines of likeness s share a bucket with chance 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 10, 3
 _MIX = np.random.default_rng(5).integers(1, 2**32, (BANDS * ROWS, 2), np.uint32) | np.uint32(1)
@@ -105,34 +83,26 @@ def minhash_bands(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        at, no, plain, mask = [], [], [], []
-        for i, t in enumerate(b["raw_text"]):
-            split = None
-            for j, x in enumerate(letters(t).split("\n")):
-                if len(x) >= LEAST_LETTERS and sum(map(str.isalpha, x)) >= LEAST_LETTERS:
-                    split = split or t.split("\n")
-                    at.append(i)
-                    no.append(j + 1)
-                    plain.append(x)
-                    m = split[j]
-                    mask.append(x if m.islower() or not (_MONTHS.search(m) or _NAMES.search(m)) else masked(m))
-        rows = b.iloc[at]
-        yield pd.DataFrame(
-            {
-                "book_id": rows["book_id"].to_numpy(),
-                "page_no": rows["page_no"].to_numpy(),
-                "line_no": np.array(no, np.int32),
-                "line_key": _keys(plain),
-                "plain": plain,
-                "masked": mask,
-            }
-        )
+_MONTH_WORDS = re.compile(_MONTHS.pattern.replace(r"\b", ""), re.IGNORECASE)
+_CAPITAL_INSIDE = re.compile(r"[a-zà-öø-ÿ,;] [A-ZÀ-ÖØ-Þ]")
+
+
+def long_lines(t: str) -> list[tuple[int, str, str]]:
+    """``(line_no, letters, masked letters)`` of the lines of ``t`` with at least 20 letters, numbered from 1."""
+    out, split = [], None
+    may = bool(_CAPITAL_INSIDE.search(t) or _MONTH_WORDS.search(t))
+    for j, x in enumerate(letters(t).split("\n")):
+        if len(x) >= LEAST_LETTERS and (x.isalpha() or sum(map(str.isalpha, x)) >= LEAST_LETTERS):
+            m = x
+            if may:
+                split = split or t.split("\n")
+                if _MONTHS.search(split[j]) or _NAMES.search(split[j]):
+                    m = masked(split[j])
+            out.append((j + 1, x, m))
+    return out
 
 
-_LINE = "book_id string, page_no int, line_no int, line_key long, band_a long, band_b long"
-_MASKED = "book_id string, page_no int, line_no int, line_key long, mask_key long, masked string, " + ", ".join(f"band_{i} long" for i in range(BANDS))
+_LINE = "book_id string, page_no int, line_no int, line_key long, mask_key long, " + ", ".join(f"band_{i} long" for i in range(BANDS))
 #: Likeness (Jaccard, of shingles of masked letters) that links two lines.
 LIKE = 0.8
 
@@ -141,20 +111,22 @@ def _keys(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
 
 
-def _without_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in _lines(batches):
-        mask = b.pop("masked").tolist()
-        yield b.assign(band_a=minhash_band(mask), band_b=minhash_band(b.pop("plain").tolist()))[_columns(_LINE)]
-
-
-def _with_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in _lines(batches):
-        mask = b["masked"].tolist()
-        yield b.assign(mask_key=_keys(mask), **{f"band_{i}": x for i, x in enumerate(minhash_bands(mask))})[_columns(_MASKED)]
-
-
-def _columns(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        at, no, plain, mask = [], [], [], []
+        for i, t in enumerate(b["raw_text"]):
+            for j, x, m in long_lines(t):
+                at.append(i)
+                no.append(j)
+                plain.append(x)
+                mask.append(m)
+        rows, bands = b.iloc[at], minhash_bands(mask)
+        yield pd.DataFrame(
+            {
+                "book_id": rows["book_id"].to_numpy(), "page_no": rows["page_no"].to_numpy(), "line_no": np.array(no, np.int32), "line_key": _keys(plain), "mask_key": _keys(mask),
+                **{f"band_{i}": x for i, x in enumerate(bands)},
+            }
+        )
 
 
 def shingle_likeness(a: str, b: str) -> float:
@@ -162,58 +134,26 @@ def shingle_likeness(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def _of_sources(pages: DataFrame, books: DataFrame, lines: Callable, schema: str) -> DataFrame:
-    src = small_or_shuffled(book_facts(books).where("source IS NOT NULL").select("book_id", "source", F.xxhash64("source").alias("source_key")))
+def source_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
+    """The long lines of all pages whose book has a source, with their keys and bands: numbers only; cut from its lineage."""
+    src = small_or_shuffled(book_facts(books).where("source IS NOT NULL").select("book_id", F.xxhash64("source").alias("source")))
     text = pages.select("book_id", "page_no", "raw_text").where("book_id IS NOT NULL AND page_no IS NOT NULL AND length(raw_text) >= 20")
-    return text.mapInPandas(lines, schema).join(src, "book_id")
-
-
-def candidate_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
-    """Lines in a bucket that two or more books of one source share:
-    ``(book_id, page_no, line_no, source, line_key, bucket)``; cut from its lineage."""
-    lines = _of_sources(pages, books, _without_text, _LINE)
-    bucket = lambda band, i: F.xxhash64("source_key", band, F.lit(i))
-    lines = lines.withColumn("buckets", F.array(bucket("band_a", 0), bucket("band_b", 1))).drop("band_a", "band_b")
-    book = F.xxhash64("book_id")
-    shared = (
-        lines.select(F.explode("buckets").alias("bucket"), book.alias("book"))
-        .groupBy("bucket").agg(F.min("book").alias("lo"), F.max("book").alias("hi"))
-        .where("lo < hi").select("bucket")
-    )
-    shared = small_or_shuffled(cut(shared), 1_000_000)
-    # One row per line and bucket, both buckets looked up in one join. A line in two shared buckets comes out twice; it's
-    # the same row, so the aggregations that follow don't mind.
-    hit = lines.withColumn("bucket", F.explode("buckets")).join(shared, "bucket", "left_semi")
-    return cut(hit.select("book_id", "page_no", "line_no", "source", "line_key", "bucket").distinct())
-
-
-def repeated_lines(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BOOKS) -> DataFrame:
-    """Lines whose letters recur in ``least_books`` books of one source: ``(book_id, page_no, line_no)``, distinct.
-
-    Lines are numbered from 1. Defined results: null and blank texts, lines of fewer than 20 letters and books without a
-    row or source in ``books`` have none; repeated rows count once; an empty table gives no rows.
-    """
-    lines = candidate_lines(pages, books)
-    often = (
-        lines.select("source", "line_key", "book_id").distinct().groupBy("source", "line_key").agg(F.count("*").alias("n")).where(F.col("n") >= least_books).select("source", "line_key")
-    )
-    return lines.select("source", "line_key", "book_id", "page_no", "line_no").join(often, ["source", "line_key"], "left_semi").select("book_id", "page_no", "line_no").distinct()
+    return cut(text.mapInPandas(_lines, _LINE).join(src, "book_id"))
 
 
 def linked_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
-    """Lines whose letters another book has, or that share a band with other masked letters, a row a line:
-    ``(book_id, page_no, line_no, source, line_key, mask_key, masked, hits)``, ``hits`` its shared buckets; cut from its lineage."""
-    lines = _of_sources(pages, books, _with_bands, _MASKED)
+    """Lines whose letters another book has, or that share a band with other masked letters, a row a line and shared bucket:
+    ``(book_id, page_no, line_no, source, line_key, mask_key, bucket)``; cut from its lineage."""
+    lines = source_lines(pages, books)
     book = F.xxhash64("book_id")
     # bands are shared by two spellings, equal letters by two books
-    key = lambda k, i, v: F.struct(F.xxhash64("source_key", k, F.lit(i)).alias("bucket"), v.alias("value"))
+    key = lambda k, i, v: F.struct(F.xxhash64("source", k, F.lit(i)).alias("bucket"), v.alias("value"))
     exact = [key("mask_key", -1, book), F.when(F.col("line_key") != F.col("mask_key"), key("line_key", -1, book))]
     of = F.array_compact(F.array(*exact, *(key(f"band_{i}", i, F.col("mask_key")) for i in range(BANDS))))
     shared = lines.select(F.explode(of).alias("k")).groupBy("k.bucket").agg(F.min("k.value").alias("lo"), F.max("k.value").alias("hi")).where("lo < hi").select("bucket")
     shared = small_or_shuffled(cut(shared), 1_000_000)
-    line = ["book_id", "page_no", "line_no", "source", "line_key", "mask_key", "masked"]
-    hit = lines.select(*line, F.explode(F.transform(of, lambda k: k["bucket"])).alias("bucket")).join(shared, "bucket", "left_semi")
-    return cut(hit.groupBy(*line).agg(F.collect_set("bucket").alias("hits")))
+    line = ["book_id", "page_no", "line_no", "source", "line_key", "mask_key"]
+    return cut(lines.select(*line, F.explode(F.transform(of, lambda k: k["bucket"])).alias("bucket")).join(shared, "bucket", "left_semi"))
 
 
 def links(keys: list[int], texts: list[str], like: float = LIKE) -> list[tuple[int, int]]:
@@ -252,13 +192,37 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def spellings(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(source, mask_key, masked)`` of each masked spelling of ``lines``, read from one line of it."""
+    one = lines.groupBy("source", "mask_key").agg(F.min(F.struct("book_id", "page_no", "line_no")).alias("r")).select("source", "mask_key", "r.*")
+    per = one.groupBy("book_id", "page_no").agg(F.collect_list(F.struct("line_no", "source", "mask_key")).alias("want"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t, want in zip(b["raw_text"], b["want"], strict=True):
+                lines = long_lines(t)
+                have = {(j, k): m for (j, _, m), k in zip(lines, _keys([m for *_, m in lines]).tolist(), strict=True)}
+                # a page's repeated rows may differ: the one with the spelling counts
+                rows += [(w["source"], w["mask_key"], have[w["line_no"], w["mask_key"]]) for w in want if (w["line_no"], w["mask_key"]) in have]
+            yield pd.DataFrame(rows, columns=["source", "mask_key", "masked"])
+
+    text = pages.select("book_id", "page_no", "raw_text").where("raw_text IS NOT NULL").join(small_or_shuffled(cut(per)), ["book_id", "page_no"])
+    return text.select("raw_text", "want").mapInPandas(read, "source long, mask_key long, masked string").dropDuplicates(["source", "mask_key"])
+
+
 def line_classes(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BOOKS, like: float = LIKE) -> DataFrame:
-    """Near-duplicate classes, a row a line: ``(book_id, page_no, line_no, source, line_class, n_books)``.
+    """Near-duplicate classes, a row a line: ``(book_id, page_no, line_no, source, line_key, line_class, n_books)``, source as
+    its hash, line_key the hash of the line's letters.
 
     Lines of the same letters, and those at least ``like`` by their masked letters, are linked; what links connect is one
     class, and classes of ``least_books`` books count."""
-    lines = linked_lines(pages, books)
-    spelling = lines.select("source", "mask_key", "masked", F.explode("hits").alias("bucket")).distinct()
+    hits = linked_lines(pages, books)
+    band = hits.select("source", "mask_key", "bucket").distinct()
+    # buckets of one spelling - of equal letters in several books - link nothing
+    several = band.groupBy("bucket").agg(F.min("mask_key").alias("lo"), F.max("mask_key").alias("hi")).where("lo < hi").select("bucket")
+    band = cut(band.join(several, "bucket", "left_semi"))
+    spelling = band.join(spellings(pages, hits.join(band.select("source", "mask_key").distinct(), ["source", "mask_key"], "left_semi")), ["source", "mask_key"])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(b: pd.DataFrame) -> pd.DataFrame:
@@ -280,17 +244,32 @@ def line_classes(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BO
         if kept:
             yield found(pd.concat(kept))
 
-    like_edges = spelling.repartition("bucket").sortWithinPartitions("bucket", "mask_key").mapInPandas(each, "source string, a long, b long")
+    like_edges = spelling.repartition("bucket").sortWithinPartitions("bucket", "mask_key").mapInPandas(each, "source long, a long, b long")
+    lines = hits.drop("bucket").distinct()
     same = lines.where("line_key <> mask_key").select("source", F.col("line_key").alias("a"), F.col("mask_key").alias("b"))
     label = components(like_edges.unionByName(same).distinct()).select("source", F.col("node").alias("mask_key"), "label")
-    near = lines.drop("masked", "hits").join(label, ["source", "mask_key"], "left").withColumn("line_class", F.coalesce("label", "mask_key"))
+    near = lines.join(small_or_shuffled(cut(label)), ["source", "mask_key"], "left").withColumn("line_class", F.coalesce("label", "mask_key"))
     size = near.select("source", "line_class", "book_id").distinct().groupBy("source", "line_class").agg(F.count("*").alias("n_books")).where(F.col("n_books") >= least_books)
-    return near.join(size, ["source", "line_class"]).select("book_id", "page_no", "line_no", "source", "line_class", "n_books").distinct()
+    return near.join(size, ["source", "line_class"]).select("book_id", "page_no", "line_no", "source", "line_key", "line_class", "n_books").distinct()
+
+
+def repeated_lines(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BOOKS) -> DataFrame:
+    """Lines whose letters recur in ``least_books`` books of one source: ``(book_id, page_no, line_no)``, distinct.
+
+    They are the lines of the frequent classes of ``line_classes`` for which an exact check holds: the very letters, not only
+    like ones, stand in so many books. Equal letters are always one class, so none is lost.
+    Lines are numbered from 1. Defined results: null and blank texts, lines of fewer than 20 letters and books without a
+    row or source in ``books`` have none; repeated rows count once; an empty table gives no rows.
+    """
+    lines = line_classes(pages, books, least_books)
+    often = lines.select("source", "line_key", "book_id").distinct().groupBy("source", "line_key").agg(F.count("*").alias("n")).where(F.col("n") >= least_books).select("source", "line_key")
+    return lines.join(often, ["source", "line_key"], "left_semi").select("book_id", "page_no", "line_no").distinct()
 
 
 def without_repeated_lines(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BOOKS) -> DataFrame:
-    """Each page's text without the repeated lines: ``(book_id, page_no, text, n_removed)``; null texts stay null."""
-    gone = repeated_lines(pages, books, least_books).groupBy("book_id", "page_no").agg(F.collect_list("line_no").alias("gone"))
+    """Each page's text without the lines of near-duplicate classes that stand in ``least_books`` books of its source:
+    ``(book_id, page_no, text, n_removed)``; null texts stay null."""
+    gone = line_classes(pages, books, least_books).select("book_id", "page_no", "line_no").groupBy("book_id", "page_no").agg(F.collect_list("line_no").alias("gone"))
     once = pages.select("book_id", "page_no", "raw_text").dropDuplicates(["book_id", "page_no"])
     kept = F.filter(F.split("raw_text", "\n"), lambda x, i: ~F.array_contains("gone", (i + 1).cast("int")))
     return once.join(gone, ["book_id", "page_no"], "left").select(
