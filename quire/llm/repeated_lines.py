@@ -145,11 +145,11 @@ def linked_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
     """Lines whose letters another book has, or that share a band with other masked letters, a row a line and shared bucket:
     ``(book_id, page_no, line_no, source, line_key, mask_key, bucket)``; cut from its lineage."""
     lines = source_lines(pages, books)
-    book = F.xxhash64("book_id")
-    # bands are shared by two spellings, equal letters by two books
+    book = F.hash("book_id")
+    # bands are shared by two spellings, equal letters by two books; 32 bits are enough to tell two values of a bucket apart
     key = lambda k, i, v: F.struct(F.xxhash64("source", k, F.lit(i)).alias("bucket"), v.alias("value"))
     exact = [key("mask_key", -1, book), F.when(F.col("line_key") != F.col("mask_key"), key("line_key", -1, book))]
-    of = F.array_compact(F.array(*exact, *(key(f"band_{i}", i, F.col("mask_key")) for i in range(BANDS))))
+    of = F.array_compact(F.array(*exact, *(key(f"band_{i}", i, F.hash("mask_key")) for i in range(BANDS))))
     shared = lines.select(F.explode(of).alias("k")).groupBy("k.bucket").agg(F.min("k.value").alias("lo"), F.max("k.value").alias("hi")).where("lo < hi").select("bucket")
     shared = small_or_shuffled(cut(shared), 1_000_000)
     line = ["book_id", "page_no", "line_no", "source", "line_key", "mask_key"]

@@ -20,7 +20,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -28,6 +27,8 @@ from pyspark.sql import functions as F
 
 from quire.session import cut, small_or_shuffled
 
+from .common import logistic
+
 #: Characters that two texts must share to count as copies: the least length of a text looked up.
 LEAST_SHARED = 16
 #: Texts that the model of endings learns from, at most: so many letters and so many others.
@@ -92,20 +93,8 @@ class Endings:
         often = Counter(x for f, y in rows if not y for x in f if x[0] == "h")
         model = cls({}, {x for x, n in often.items() if n >= least})
         seen = [model._seen(f) for f, _ in rows]
-        at = {x: i for i, x in enumerate(sorted({x for f in seen for x in f}))}
-        if not rows:
-            return model
-        row = np.repeat(np.arange(len(rows)), [len(f) for f in seen])
-        col = np.array([at[x] for f in seen for x in f])
-        y, w = np.array([v for _, v in rows], float), np.zeros(len(at))
-        weight = np.where(y > 0, 1 / cuts, 1.0)
-        size = np.zeros(len(at))  # Adagrad
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)), -30, 30)))
-            g = np.bincount(col, (weight * (p - y))[row], len(at)) / len(y) + 1e-4 * w
-            size += g * g
-            w -= 0.3 * g / np.sqrt(size + 1e-12)
-        model.weights = {x: float(w[i]) for x, i in at.items()}
+        y = [v for _, v in rows]
+        model.weights = logistic(seen, y, [1 / cuts if v else 1.0 for v in y], rounds)
         return model
 
     def score(self, text: str, kind: str | None) -> float:
