@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.session import cut
 
 
 class TextKernel(Protocol):
@@ -73,33 +74,40 @@ def available(kind: str) -> list[str]:
 def complete(df: DataFrame, prompt: Column, kernel: str | Callable[[], TextKernel], default: Column | None = None) -> DataFrame:
     """``df`` with ``answer`` and ``error``: each distinct prompt goes to the kernel once; failures give ``default``.
 
-    ``kernel``: a registered name, or a function that makes a kernel (called once per task)."""
+    ``kernel``: a registered name, or a function that makes a kernel (called once per task). Prompts are told apart by 128 bits
+    of hash, so the join back shuffles no text but the rows' own. Answers are cut from their lineage: whatever is done with them,
+    no prompt is sent twice, and what has been answered stays answered."""
     make = REGISTRY[kernel] if isinstance(kernel, str) else kernel
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = make()
         for b in batches:
             rows = []
-            for p in b["prompt"]:
+            for h, p in zip(b["__hash"], b["prompt"], strict=True):
                 try:
-                    rows.append((p, k(p), None))
+                    rows.append((h, k(p), None))
                 except Exception as e:  # one item's failure is its own
-                    rows.append((p, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["prompt", "answer", "error"])
+                    rows.append((h, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["__hash", "answer", "error"])
 
-    x = df.withColumn("prompt", prompt)
-    answers = x.where("prompt IS NOT NULL").select("prompt").distinct().mapInPandas(each, "prompt string, answer string, error string")
-    out = x.join(answers, "prompt", "left")
-    return out.withColumn("answer", F.coalesce("answer", default) if default is not None else F.col("answer")).drop("prompt")
+    x = df.withColumn("__hash", F.md5(prompt))
+    once = x.select("__hash", prompt.alias("prompt")).where("prompt IS NOT NULL").groupBy("__hash").agg(F.first("prompt").alias("prompt"))
+    answers = cut(once.mapInPandas(each, "__hash string, answer string, error string"))
+    out = x.join(answers, "__hash", "left")
+    return out.withColumn("answer", F.coalesce("answer", default) if default is not None else F.col("answer")).drop("__hash")
 
 
-def first_backend(df: DataFrame, prompt: Column, kernels: list[str]) -> DataFrame:
-    """``answer`` and ``backend`` of the first kernel that answers; only unanswered rows go on to the next."""
-    done, todo = [], df
-    for k in kernels:
+def first_backend(df: DataFrame, prompt: Column, kernels: list[str | Callable[[], TextKernel]]) -> DataFrame:
+    """``answer``, ``backend`` and ``errors`` of the first kernel that answers; only unanswered rows go on to the next.
+
+    ``errors`` lists what the kernels before it said, in their order."""
+    done, todo = [], df.withColumn("errors", F.array().cast("array<string>"))
+    for i, k in enumerate(kernels):
         x = complete(todo, prompt, k)
-        done.append(x.where("answer IS NOT NULL").withColumn("backend", F.lit(k)).drop("error"))
-        todo = x.where("answer IS NULL").drop("answer", "error")
+        name = k if isinstance(k, str) else f"kernel {i + 1}"
+        done.append(x.where("answer IS NOT NULL").withColumn("backend", F.lit(name)).drop("error"))
+        failed = F.concat("errors", F.array(F.concat(F.lit(f"{name}: "), F.coalesce("error", F.lit("no prompt")))))
+        todo = cut(x.where("answer IS NULL").withColumn("errors", failed).drop("answer", "error"))
     done.append(todo.withColumn("answer", F.lit(None).cast("string")).withColumn("backend", F.lit(None).cast("string")))
     return reduce(lambda a, b: a.unionByName(b), done)
 
@@ -136,6 +144,7 @@ def revise(books: DataFrame, write: str | Callable, judge: str | Callable, attem
         w = complete(todo, F.col("prompt_text"), write, F.lit("")).withColumnRenamed("answer", "script").drop("error")
         s = complete(w, F.col("script"), judge).withColumn("s", scores(F.col("answer")))
         s = s.withColumn("total", sum((F.col("s")[c.split()[0]] for c in SCORES.split(", ")), F.lit(0))).withColumn("n_words", T.n_words(F.col("script")))
+        s = cut(s.select("book_id", "prompt_text", "script", "total", "n_words"))
         good = (F.col("total") >= least) & F.col("n_words").between(*words)
         last = F.lit(i == attempts - 1)
         cols = ["book_id", "script", "total", "n_words"]

@@ -26,7 +26,7 @@ def ocr_correction(s, d):
 
 
 def section_keywords(s, d):
-    x = tables.chunks(s, d).where("text IS NOT NULL").select("book_id", "chunk_id", F.substring("text", 1, 400).alias("p"))
+    x = tables.chunks(s, d).where("text IS NOT NULL").select("book_id", "chunk_id", F.col("text").alias("p"))
     k = K.keywords(F.col("answer"))
     return K.complete(x, F.col("p"), "keywords").select("book_id", "chunk_id", *(F.array_join(k[c], "|").alias(c) for c in ("wikimedia", "pexels", "key_phrases")))
 
@@ -38,7 +38,7 @@ def script_revision(s, d):
 
 def backend_chain(s, d):
     x = tables.shots(s, d).where("caption_text <> ''").select("plan_id", "shot_no", "caption_text")
-    return K.first_backend(x, F.col("caption_text"), ["failing", "echo"]).groupBy("backend").agg(F.count("*").alias("n"))
+    return K.first_backend(x, F.col("caption_text"), ["failing", "echo"]).groupBy("backend").agg(F.count("*").alias("n"), F.sum(F.size("errors")).alias("n_errors"))
 
 
 def page_stitch(s, d):
@@ -67,7 +67,16 @@ ORACLE = {
     "word_confusions": "SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE w WHEN 'في' THEN 'فى' WHEN 'the' THEN 'teh' WHEN 'le' THEN 'la' ELSE w END), ' ') AS text FROM documents WHERE text IS NOT NULL",
     "ocr_correction": """SELECT book_id, page_no, raw_text AS text, ((instr('0123456789abcdef', md5(raw_text)[1]) - 1) * 16 + instr('0123456789abcdef', md5(raw_text)[2]) - 1) % 4 = 0 AS failed
 FROM (SELECT DISTINCT book_id, page_no, pdf_type, raw_text FROM page) WHERE pdf_type = 'scanned' AND regexp_matches(raw_text, '[^\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]')""",
-    "section_keywords": f"""WITH w AS (SELECT book_id, chunk_id, list_filter(string_split_regex(text[:400], '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+'), lambda x: x <> '')[:6] AS w FROM {CHUNKS} WHERE text IS NOT NULL)
+    "section_keywords": f"""WITH w AS (SELECT book_id, chunk_id, list_filter(string_split_regex(text, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+'), lambda x: x <> '')[:6] AS w FROM {CHUNKS} WHERE text IS NOT NULL)
 SELECT book_id, chunk_id, coalesce(array_to_string(w[:4], '|'), '') AS wikimedia, coalesce(array_to_string(w[:3], '|'), '') AS pexels, coalesce(array_to_string(w[:2], '|'), '') AS key_phrases FROM w""",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLE, "script_revision", "backend_chain", "page_stitch", "resilient_json")}
+ORACLE["resilient_json"] = f"""
+WITH j AS (SELECT plan_id, shot_no,
+    '{{"shot_no":' || shot_no || CASE WHEN visual IS NULL THEN '' ELSE ',"visual":' || to_json(visual) END || CASE WHEN search_query IS NULL THEN '' ELSE ',"search_query":' || to_json(search_query) END || '}}' AS j
+  FROM {SHOTS}),
+e AS (SELECT plan_id, sum(length(j) + 2) OVER (PARTITION BY plan_id ORDER BY shot_no, j) + 11 - 2 AS ends, sum(length(j) + 2) OVER (PARTITION BY plan_id) + 12 - 2 + 1 AS whole FROM j)
+SELECT plan_id, CAST(count(*) FILTER (WHERE ends <= floor(whole * 2 / 3)) AS INTEGER) AS n_shots FROM e GROUP BY plan_id"""
+_FAILS = "((instr('0123456789abcdef', md5({0})[1]) - 1) * 16 + instr('0123456789abcdef', md5({0})[2]) - 1) % 4 = 0"
+ORACLE["backend_chain"] = f"""SELECT CASE WHEN {_FAILS.format('caption_text')} THEN 'echo' ELSE 'failing' END AS backend, count(*) AS n,
+  CAST(sum(CASE WHEN {_FAILS.format('caption_text')} THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM {SHOTS} WHERE caption_text <> '' GROUP BY 1"""
+QUERIES = {k: globals()[k] for k in (*ORACLE, "script_revision", "page_stitch", "resilient_json")}

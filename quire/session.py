@@ -34,13 +34,16 @@ def local_session(cores: int | str = "*", shuffle: int = 8, **conf: str) -> Spar
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, local runs) is a
-    temporary one used. The files are replicated or shared storage, so a lost executor loses nothing.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, a local session takes a temporary one; a
+    cluster, whose workers would each have their own, is refused. The files are shared storage, so a lost executor loses nothing.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
