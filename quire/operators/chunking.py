@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+from .folds import fold_sorted, kind
+
 MAX_TOKENS, OVERLAP_TOKENS, STUB_WORDS = 1500, 200, 8
 SEPARATORS = ("\n\n", "\n", ".", "،", " ")
 
@@ -109,17 +111,18 @@ def bundle_parts(items: DataFrame, keys: list[str], order: str, size: str, limit
 
     A new part begins only when the open one isn't empty and would exceed the limit; a larger file is a part by itself. The
     fold runs over (order, size) pairs of one key, never over contents."""
-    arr = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("z"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("part"), F.array().cast("array<struct<o:long,z:long,part:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        more = (a["used"] > 0) & (a["used"] + x["z"] > limit) | (a["part"] == 0)
-        part = F.when(more, a["part"] + 1).otherwise(a["part"])
-        used = F.when(more, x["z"]).otherwise(a["used"] + x["z"])
-        return F.struct(used.alias("used"), part.alias("part"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), x["z"].alias("z"), part.alias("part")))).alias("out"))
-
-    rows = items.groupBy(*keys).agg(F.aggregate(arr, start, step)["out"].alias("out"))
-    return rows.select(*keys, F.explode("out").alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.z").alias(size), F.col("x.part").alias("part_no"))
+    x = items.select(*keys, F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size))
+    n = len(keys)
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        used, part = state or (0, 0)
+        z = row[n + 1]
+        if not part or (used > 0 and used + z > limit):
+            used, part = 0, part + 1
+        return (used + z, part), [(*row, part)]
+
+    fields = ", ".join(f"`{c}` {kind(x, c)}" for c in x.columns)
+    return fold_sorted(x, keys, [order, size], f"{fields}, part_no int", step)
 
 
 # How the lines begin that open a script's sections, and the sections' ids; the first that fits counts.

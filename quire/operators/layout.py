@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted, kind
+
 PAGE = ("book_id", "page_no")
 
 
@@ -128,15 +130,16 @@ def visual_lines(spans: DataFrame, tolerance: float = 4.0) -> DataFrame:
     spans from the top); within a line spans run from right to left, spans of marks alone half a step later."""
     mark = F.col("text").rlike(r"^[ً-ْٰ\s]+$")
     right = F.col("x_right") - F.when(mark, 5.0).otherwise(0.0)
-    arr = F.sort_array(F.collect_list(F.struct(F.col("y"), F.col("span"), right.alias("r"), F.col("text").alias("t"))))
-    start = F.struct(F.lit(-1e18).alias("y"), F.lit(0).alias("line"), F.array().cast("array<struct<line:int,r:double,span:int,t:string>>").alias("out"))
+    x = spans.select("page", F.col("y").cast("double").alias("y"), F.col("span").cast("int").alias("span"), right.cast("double").alias("r"), F.col("text").alias("t"))
 
-    def step(a: Column, s: Column) -> Column:
-        new = F.abs(s["y"] - a["y"]) > tolerance
-        line = F.when(new, a["line"] + 1).otherwise(a["line"])
-        return F.struct(F.when(new, s["y"]).otherwise(a["y"]).alias("y"), line.alias("line"), F.concat(a["out"], F.array(F.struct(line.alias("line"), s["r"].alias("r"), s["span"].cast("int").alias("span"), s["t"].alias("t")))).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        page, y, span, r, t = row
+        first, line = state or (None, 0)
+        if first is None or abs(y - first) > tolerance:
+            first, line = y, line + 1
+        return (first, line), [(page, line, r, span, t)]
 
-    rows = spans.groupBy("page").agg(F.aggregate(arr, start, step)["out"].alias("o")).select("page", F.inline("o"))
+    rows = fold_sorted(x, ["page"], ["y", "span"], f"page {kind(x, 'page')}, line int, r double, span int, t string", step)
     parts = F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("k"), F.col("span"), F.col("t"))))
     return rows.groupBy("page", F.col("line").alias("line_no")).agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
 

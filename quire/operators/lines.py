@@ -110,10 +110,14 @@ def classify_lines(pages: DataFrame) -> DataFrame:
 def _pending_pages(found: DataFrame) -> DataFrame:
     """Which of its two versions each page takes: whether the page before left a footnote open."""
     per = found.groupBy("book_id", "page_no").agg(F.bool_or(~F.col("pending") & F.col("goes_on")).alias("off"), F.bool_or(F.col("pending") & F.col("goes_on")).alias("on"))
-    books = per.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "off", "on"))).alias("ps"))
-    start = F.struct(F.lit(False).alias("now"), F.array().cast("array<struct<page_no:int,pending:boolean>>").alias("out"))
-    step = lambda a, p: F.struct(F.when(a["now"], p["on"]).otherwise(p["off"]).alias("now"), F.concat(a["out"], F.array(F.struct(p["page_no"].alias("page_no"), a["now"].alias("pending")))).alias("out"))
-    return books.select("book_id", F.explode(F.aggregate("ps", start, step)["out"]).alias("o")).select("book_id", "o.page_no", "o.pending")
+    # a page that leaves the same state whatever the one before settles it; after it, pages that turn it over count
+    book = Window.partitionBy("book_id").orderBy("page_no")
+    before = book.rowsBetween(Window.unboundedPreceding, -1)
+    settles, turns = F.col("off") == F.col("on"), (F.col("off") & ~F.col("on")).cast("int")
+    x = per.withColumn("turned", F.sum(turns).over(book.rowsBetween(Window.unboundedPreceding, 0)))
+    last = lambda c: F.last(F.when(settles, c), ignorenulls=True).over(before)
+    since = F.coalesce(F.lag("turned").over(book), F.lit(0)) - F.coalesce(last(F.col("turned")), F.lit(0))
+    return x.select("book_id", "page_no", (F.coalesce(last(F.col("off")), F.lit(False)) != (since % 2 == 1)).alias("pending"))
 
 
 def strip_lines(pages: DataFrame, classes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+from .folds import fold_sorted, kind
+
 #: Seconds of one bucket of the interval joins.
 BUCKET = 16.0
 # Longest holds in seconds by kind of visual.
@@ -119,20 +121,20 @@ def stitched(shots: DataFrame, totals: DataFrame) -> DataFrame:
     """A plan's shots as one timeline without gaps: ``(plan_id, shot_no, start, end)``.
 
     ``totals``: (plan_id, total). Shots from the total on are dropped, later ends cut; every start is the end before it, a
-    shot left empty lasts 2 seconds; the last ends at the total. The fold's state is the last end, its input numbers."""
-    x = shots.where("start IS NOT NULL AND `end` IS NOT NULL").join(totals, "plan_id").where("start < total").withColumn("end", F.least("end", "total"))
-    arr = F.sort_array(F.collect_list(F.struct("start", "shot_no", F.col("end").alias("e"))))
-    start = F.array().cast("array<struct<shot_no:int,s:double,e:double>>")
+    shot left empty lasts 2 seconds; the last ends at the total. The fold's state is the shot before, its input numbers."""
+    x = shots.where("start IS NOT NULL AND `end` IS NOT NULL").join(totals, "plan_id").where("start < total")
+    x = x.select("plan_id", F.col("start").cast("double").alias("start"), "shot_no", F.least("end", "total").cast("double").alias("e"), F.col("total").cast("double").alias("total"))
 
-    def step(a: Column, r: Column) -> Column:
-        prev = F.element_at(a, -1)["e"]
-        s = F.when(F.size(a) == 0, r["start"]).otherwise(prev)
-        e = F.when((F.size(a) > 0) & (r["e"] <= s), s + 2.0).otherwise(r["e"])
-        return F.concat(a, F.array(F.struct(r["shot_no"].alias("shot_no"), s.alias("s"), e.alias("e"))))
+    def step(last: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        plan, s, no, e, total = row
+        if last is not None:
+            s = last[3]
+            if e <= s:
+                e = s + 2.0
+        return (plan, no, s, e, total), [last[:4]] if last else []
 
-    folded = x.groupBy("plan_id").agg(F.max("total").alias("total"), F.aggregate(arr, start, step).alias("a"))
-    rows = folded.select("plan_id", "total", F.size("a").alias("n"), F.posexplode("a"))
-    return rows.select("plan_id", F.col("col.shot_no").alias("shot_no"), F.col("col.s").alias("start"), F.when(F.col("pos") == F.col("n") - 1, F.col("total")).otherwise(F.col("col.e")).alias("end"))
+    # the last shot ends at the total
+    return fold_sorted(x, ["plan_id"], ["start", "shot_no", "e"], f"plan_id {kind(x, 'plan_id')}, shot_no int, start double, end double", step, lambda r: [(*r[:3], r[4])])
 
 
 def split_pieces(visual: Column, duration: Column, piece: float = 5.0) -> Column:
@@ -194,18 +196,19 @@ def caption_budget(blocks: DataFrame, key: str, least: float = 2.0, gap: float =
 
     ``blocks``: (key, ord, n_words, from, to). Each block gets its share of the time by words, at least ``least`` seconds and,
     but for that, none beyond the section; what no longer fits is left out."""
-    arr = F.sort_array(F.collect_list(F.struct("ord", F.greatest(F.col("n_words"), F.lit(1)).alias("n"))))
-    x = blocks.groupBy(key, "from", "to").agg(arr.alias("bs")).where(F.col("to") - F.col("from") > least)
-    x = x.withColumn("total", F.aggregate("bs", F.lit(0), lambda a, b: a + b["n"]))
-    start = F.struct(F.col("from").alias("t"), F.array().cast("array<struct<ord:int,s:double,e:double>>").alias("out"))
-
-    def step(a: Column, b: Column) -> Column:
-        d = F.greatest(F.lit(least), (F.col("to") - F.col("from")) * b["n"] / F.col("total"))
-        e = F.greatest(F.least(a["t"] + d - gap, F.col("to") - gap), a["t"] + least)
-        row = F.struct(b["ord"].alias("ord"), a["t"].alias("s"), e.alias("e"))
-        return F.when(a["t"] >= F.col("to"), a).otherwise(F.struct((e + gap).alias("t"), F.concat(a["out"], F.array(row)).alias("out")))
-
-    return x.select(key, F.explode(F.aggregate("bs", start, step)["out"]).alias("o")).select(key, F.col("o.ord").alias("ord"), F.col("o.s").alias("start"), F.col("o.e").alias("end"))
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    x = blocks.where(F.col("to") - F.col("from") > least).withColumn("n", n).withColumn("total", F.sum("n").over(Window.partitionBy(key, "from", "to")))
+    x = x.select(key, F.col("from").cast("double").alias("b"), F.col("to").cast("double").alias("e"), "ord", "n", "total")
+
+    def step(t: float | None, row: tuple) -> tuple[float, list[tuple]]:
+        k, begin, end, no, words, total = row
+        t = begin if t is None else t
+        if t >= end:
+            return t, []
+        stop = max(min(t + max(least, (end - begin) * words / total) - gap, end - gap), t + least)
+        return stop + gap, [(k, no, t, stop)]
+
+    return fold_sorted(x, [key, "b", "e"], ["ord", "n"], f"{key} {kind(x, key)}, ord int, start double, end double", step)
 
 
 def overlays(sections: DataFrame, key: str, title: float = 5.0, mark: float = 2.5, phrase: float = 3.5) -> DataFrame:
