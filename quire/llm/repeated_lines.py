@@ -102,7 +102,8 @@ def long_lines(t: str) -> list[tuple[int, str, str]]:
     return out
 
 
-_LINE = "book_id string, page_no int, line_no int, line_key long, mask_key long, " + ", ".join(f"band_{i} long" for i in range(BANDS))
+# two bands a number: 32 bits of a band are enough, as what shares a bucket is compared
+_LINE = "book_id string, page_no int, line_no int, line_key long, mask_key long, " + ", ".join(f"band_{i} long" for i in range(0, BANDS, 2))
 #: Likeness (Jaccard, of shingles of masked letters) that links two lines.
 LIKE = 0.8
 
@@ -120,11 +121,11 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 no.append(j)
                 plain.append(x)
                 mask.append(m)
-        rows, bands = b.iloc[at], minhash_bands(mask)
+        rows, bands = b.iloc[at], minhash_bands(mask).view(np.uint64)
         yield pd.DataFrame(
             {
                 "book_id": rows["book_id"].to_numpy(), "page_no": rows["page_no"].to_numpy(), "line_no": np.array(no, np.int32), "line_key": _keys(plain), "mask_key": _keys(mask),
-                **{f"band_{i}": x for i, x in enumerate(bands)},
+                **{f"band_{i}": (bands[i] & np.uint64(0xFFFFFFFF00000000) | bands[i + 1] >> np.uint64(32)).view(np.int64) for i in range(0, BANDS, 2)},
             }
         )
 
@@ -141,19 +142,18 @@ def source_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
     return cut(text.mapInPandas(_lines, _LINE).join(src, "book_id"))
 
 
-def linked_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
-    """Lines whose letters another book has, or that share a band with other masked letters, a row a line and shared bucket:
-    ``(book_id, page_no, line_no, source, line_key, mask_key, bucket)``; cut from its lineage."""
-    lines = source_lines(pages, books)
+def shared_buckets(lines: DataFrame) -> DataFrame:
+    """``(source, mask_key, bucket)`` of the buckets that two spellings or, for equal letters, two books share; cut from its
+    lineage."""
     book = F.hash("book_id")
     # bands are shared by two spellings, equal letters by two books; 32 bits are enough to tell two values of a bucket apart
     key = lambda k, i, v: F.struct(F.xxhash64("source", k, F.lit(i)).alias("bucket"), v.alias("value"))
     exact = [key("mask_key", -1, book), F.when(F.col("line_key") != F.col("mask_key"), key("line_key", -1, book))]
-    of = F.array_compact(F.array(*exact, *(key(f"band_{i}", i, F.hash("mask_key")) for i in range(BANDS))))
+    band = lambda i: F.shiftrightunsigned(f"band_{i}", 32) if i % 2 == 0 else F.col(f"band_{i - 1}").bitwiseAND(F.lit(0xFFFFFFFF))
+    of = F.array_compact(F.array(*exact, *(key(band(i), i, F.hash("mask_key")) for i in range(BANDS))))
     shared = lines.select(F.explode(of).alias("k")).groupBy("k.bucket").agg(F.min("k.value").alias("lo"), F.max("k.value").alias("hi")).where("lo < hi").select("bucket")
     shared = small_or_shuffled(cut(shared), 1_000_000)
-    line = ["book_id", "page_no", "line_no", "source", "line_key", "mask_key"]
-    return cut(lines.select(*line, F.explode(F.transform(of, lambda k: k["bucket"])).alias("bucket")).join(shared, "bucket", "left_semi"))
+    return cut(lines.select("source", "mask_key", F.explode(F.transform(of, lambda k: k["bucket"])).alias("bucket")).join(shared, "bucket", "left_semi").select("source", "mask_key", "bucket").distinct())
 
 
 def links(keys: list[int], texts: list[str], like: float = LIKE) -> list[tuple[int, int]]:
@@ -217,12 +217,13 @@ def line_classes(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BO
 
     Lines of the same letters, and those at least ``like`` by their masked letters, are linked; what links connect is one
     class, and classes of ``least_books`` books count."""
-    hits = linked_lines(pages, books)
-    band = hits.select("source", "mask_key", "bucket").distinct()
+    lines = source_lines(pages, books)
+    band = shared_buckets(lines)
+    lines = lines.join(small_or_shuffled(cut(band.select("source", "mask_key").distinct())), ["source", "mask_key"], "left_semi").select("book_id", "page_no", "line_no", "source", "line_key", "mask_key")
     # buckets of one spelling - of equal letters in several books - link nothing
     several = band.groupBy("bucket").agg(F.min("mask_key").alias("lo"), F.max("mask_key").alias("hi")).where("lo < hi").select("bucket")
     band = cut(band.join(several, "bucket", "left_semi"))
-    spelling = band.join(spellings(pages, hits.join(band.select("source", "mask_key").distinct(), ["source", "mask_key"], "left_semi")), ["source", "mask_key"])
+    spelling = band.join(spellings(pages, lines.join(band.select("source", "mask_key").distinct(), ["source", "mask_key"], "left_semi")), ["source", "mask_key"])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(b: pd.DataFrame) -> pd.DataFrame:
@@ -245,7 +246,6 @@ def line_classes(pages: DataFrame, books: DataFrame, least_books: int = LEAST_BO
             yield found(pd.concat(kept))
 
     like_edges = spelling.repartition("bucket").sortWithinPartitions("bucket", "mask_key").mapInPandas(each, "source long, a long, b long")
-    lines = hits.drop("bucket").distinct()
     same = lines.where("line_key <> mask_key").select("source", F.col("line_key").alias("a"), F.col("mask_key").alias("b"))
     label = components(like_edges.unionByName(same).distinct()).select("source", F.col("node").alias("mask_key"), "label")
     near = lines.join(small_or_shuffled(cut(label)), ["source", "mask_key"], "left").withColumn("line_class", F.coalesce("label", "mask_key"))
