@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-from . import garbled
-
 _MARKS = "[\\x{0610}-\\x{061A}\\x{0640}\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06DC}\\x{06DF}-\\x{06E8}\\x{06EA}-\\x{06ED}]"
 
 _P1 = """
@@ -49,18 +45,37 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
 
 
-def _re2(pattern: str) -> str:
-    """A pattern as RE2 and SQL take it; the lookarounds of the garbled sequences as a neighbour or an end."""
-    for a, b in (
-        ("(?<![A-Za-zÀ-ÿ])", "(?:^|[^A-Za-zÀ-ÿ])"), ("(?![A-Za-z])", "(?:[^A-Za-z]|$)"), ("(?<![\\wÀ-ÿ‚])", "(?:^|[^\\p{L}\\p{N}_‚])"), ("(?![\\wÀ-ÿ\\n])", "(?:[^\\p{L}\\p{N}_\\n]|$)"),
-    ):
-        pattern = pattern.replace(a, b)
-    pattern = re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", pattern)
-    pattern = "".join(c if c.isprintable() else f"\\x{{{ord(c):04x}}}" for c in pattern)
-    return pattern.replace("'", "''")
+def _class_of(chars) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in sorted(set(chars))) + "]"
+
+
+def _misread(byte: int, page: str) -> str:
+    try:
+        return bytes([byte]).decode(page)
+    except UnicodeDecodeError:
+        return chr(byte)
+
 
+def _sequences() -> str:
+    """What the letters and signs of Arabic and French become when their UTF-8 is read under another code page: told from the
+    code pages themselves, by the first character the ones that may follow."""
+    meant = [*map(chr, (*range(0x60C, 0x60D), 0x61B, 0x61F, *range(0x621, 0x63B), *range(0x640, 0x653), *range(0x660, 0x66A), *range(0xA0, 0x180), 0x152, 0x153, 0x178)), *"–—‘’“”…‚„†‡•€™ƒˆ˜‹›ŒœŠšŽžΑΒΓΔΕΚΛΟΣΤΩαβγδεικλνοπρστςόАБВГДЕКМНОПРСТУабвгдеиклмнорст"]
+    out: dict[str, set[str]] = {}
+    for c in meant:
+        raw = c.encode()
+        for page in ("cp1252", "latin-1", "cp1256", "mac_roman", "cp437", "cp850"):
+            seen = [_misread(x, page) for x in raw]
+            # under the Arabic page letters may follow each other, and signs that stand after a word or inside a misread one
+            if page != "cp1256" or not (seen[1].isalpha() or seen[1] in "،؟«»¬£\u200c\u200d\xa0"):
+                out.setdefault(seen[0], set()).add(seen[1])
+    return "|".join(f"\\x{{{ord(k):04x}}}{_class_of(v)}" for k, v in sorted(out.items()))
 
-_GARBLED = " OR ".join(f"regexp_matches(coalesce(raw_text, ''), '{_re2(p)}')" for p in garbled.PARTS)
+
+_GARBLED = "regexp_matches(coalesce(raw_text, ''), '" + "|".join((
+    "\\x{FFFD}", "[\\x{80}-\\x{9f}]", "ï»¿", _sequences(),
+    "(?:^|[^A-Za-zÀ-ÿ])[À-ÿ][À-ÿ¡¿]+(?:[^A-Za-z]|$)",  # letters of another alphabet as accented ones
+    "[A-Za-zÀ-ÿ]\\?[a-zà-ÿ]", "[A-Za-z][‚ƒ„†‡ˆ‰Š‹Œ•˜™š›žŸ…][a-z]", "(?:^|[^\\p{L}\\p{N}])[‚ƒˆŠ][a-z]", "[a-z][‚ƒˆŠ](?:[^\\p{L}\\p{N}]|$)",
+)) + "')"
 _P4 = f"SELECT DISTINCT book_id, page_no FROM page WHERE {_GARBLED}"
 _UNSEEN = "\\x{061C}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}"
 _BETWEEN = f"[\\x{{0300}}-\\x{{036F}}]*[{_UNSEEN}]*"
@@ -91,5 +106,24 @@ SELECT doc_id FROM e WHERE mark OR NOT (ended OR coalesce(kind IN ('heading', 'c
   OR coalesce(kind = 'letter' AND (regexp_matches(last, '^\\p{{Nd}}+$') OR (len(w) <= 5 AND w[1] IN (SELECT first FROM c))), false))"""
 
 
+# Twelve-word sequences that follow each other in both texts are one passage.
+_PASSAGES = f"""
+d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, s - 1 AS a, hash(w[s : s + 11]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d WHERE len(w) >= 12)),
+ig AS (SELECT item_id, s - 1 AS b, hash(w[s : s + 11]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12)),
+m AS (SELECT DISTINCT doc_id, item_id, a, b FROM dg JOIN ig USING (g)),
+r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS run FROM m),
+p AS (SELECT doc_id, item_id, count(*) + 11 AS n, min(a) AS a, min(b) AS b FROM r GROUP BY doc_id, item_id, a - b, run),
+best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, a, b) = 1)"""
+_P9_PASSAGES = f"WITH {_PASSAGES} SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(a AS INTEGER) AS doc_word, CAST(b AS INTEGER) AS item_word FROM best"
+_P9_ITEMS = f"WITH {_PASSAGES} SELECT item_id, count(*) AS n_documents, CAST(max(n) AS INTEGER) AS longest FROM best GROUP BY item_id"
+_P10_RATES = f"""
+WITH cut AS ({_P10}), c AS (SELECT DISTINCT source, doc_id, length(text) AS n FROM documents JOIN cut USING (doc_id)),
+l AS (SELECT source, n, count(*) AS k FROM c GROUP BY source, n), u AS (SELECT source, sum(k) AS n_cut, arg_min(n, struct_pack(k := -k, n := n)) AS usual_length FROM l GROUP BY source),
+t AS (SELECT source, count(DISTINCT doc_id) AS n_texts FROM documents WHERE regexp_replace(text, '{_SPACE}+', '', 'g') <> '' GROUP BY source)
+SELECT t.source, n_texts, CAST(coalesce(n_cut, 0) AS BIGINT) AS n_cut, round(coalesce(n_cut, 0) / n_texts, 6) AS share, usual_length FROM t LEFT JOIN u ON t.source IS NOT DISTINCT FROM u.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7, "p9_found": _P9, "p10_found": _P10}
+    return {"p1_found": _P1, "p3_found": _P3, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7, "p9_found": _P9, "p9_passages": _P9_PASSAGES, "p9_items": _P9_ITEMS, "p10_found": _P10, "p10_rates": _P10_RATES}
