@@ -30,6 +30,11 @@ def splitlines(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(x)
 
 
+def first_line(c: Column) -> Column:
+    """The first line that isn't blank, without white space around it; null where there is none. One match, no list of lines."""
+    return F.nullif(strip(F.regexp_extract(c, rf"\A{WS}*([^\n]*)", 1)), F.lit(""))
+
+
 def word_list(c: Column) -> Column:
     return F.filter(F.split(c, WS + "+"), lambda w: w != "")
 

@@ -55,7 +55,11 @@ def pack(text: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERL
 
         def step(a: Column, part: Column) -> Column:
             cand = F.when(a["cur"] != "", F.concat(a["cur"], F.lit(sep), part)).otherwise(part)
-            n = a["n"] + T.n_words(part) if sep.isspace() else T.n_words(cand)
+            n = a["n"] + T.n_words(part)
+            if not sep.isspace():  # a sign between two words makes them one, between two blanks it is one by itself
+                blank = lambda c: (c == "") | c.rlike(T.WS)
+                before, after = blank(F.right(a["cur"], F.lit(1))), blank(F.left(part, F.lit(1)))
+                n = F.when(a["cur"] == "", T.n_words(part)).otherwise(n + F.when(before & after, 1).when(before | after, 0).otherwise(-1))
             ws = T.word_list(a["cur"])
             tail = F.array_join(F.slice(ws, F.greatest(F.size(ws) - lap + 1, F.lit(1)), F.lit(lap)), " ") if lap else F.lit("")
             fresh = F.when(tail != "", T.strip(F.concat(tail, F.lit(" "), part))).otherwise(part)

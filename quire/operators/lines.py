@@ -143,9 +143,8 @@ def footer_counts(classes: DataFrame) -> DataFrame:
 
 def header_words(pages: DataFrame, script: str = r"؀-ۿ", least: int = 2) -> DataFrame:
     """Words of ``script`` on the first non-blank line (of at most 60 characters) of ``least`` pages or more of a book."""
-    first = F.get(F.filter(F.transform(F.split("raw_text", "\n"), T.strip), lambda s: s != ""), F.lit(0))
     words = (
-        pages.where("raw_text IS NOT NULL").select("book_id", "page_no", first.alias("s")).where(F.length("s") <= 60)
+        pages.where("raw_text IS NOT NULL").select("book_id", "page_no", T.first_line(F.col("raw_text")).alias("s")).where(F.length("s") <= 60)
         .select("book_id", "page_no", F.explode(F.regexp_extract_all("s", F.lit(f"[{script}]+"), F.lit(0))).alias("word"))
     )
     return words.groupBy("book_id", "word").agg(F.count_distinct("page_no").alias("n_pages")).where(F.col("n_pages") >= least)
@@ -154,8 +153,7 @@ def header_words(pages: DataFrame, script: str = r"؀-ۿ", least: int = 2) -> Da
 def pages_without_headers(pages: DataFrame, least: int = 2) -> DataFrame:
     """First lines all of whose words are header words are dropped: ``(book_id, page_no, header, n_words)``."""
     hw = header_words(pages, least=least)
-    lines = F.filter(F.transform(F.split("raw_text", "\n"), T.strip), lambda s: s != "")
-    first = pages.where("raw_text IS NOT NULL").select("book_id", "page_no", F.get(lines, F.lit(0)).alias("header")).where(F.length("header") <= 60)
+    first = pages.where("raw_text IS NOT NULL").select("book_id", "page_no", T.first_line(F.col("raw_text")).alias("header")).where(F.length("header") <= 60)
     word = first.select("book_id", "page_no", "header", F.explode(F.regexp_extract_all("header", F.lit(r"[؀-ۿ]+"), F.lit(0))).alias("word"))
     known = word.join(hw.select("book_id", "word"), ["book_id", "word"], "left_semi").groupBy("book_id", "page_no").agg(F.count("*").alias("known"))
     all_ = word.groupBy("book_id", "page_no", "header").agg(F.count("*").alias("n_words"))
