@@ -136,6 +136,32 @@ def read_dossier(documents: DataFrame) -> DataFrame:
     return j.select("plan_id", F.col("k").cast("int").alias("shot_no"), F.coalesce("v.visual", F.lit("")).alias("visual"), F.coalesce("v.query", F.lit("")).alias("query"), F.size(F.coalesce("v.candidates", F.array())).alias("n_candidates"))
 
 
+CANDIDATE = "struct<source:string,title:string,url:string,file:string,score:int,score_breakdown:struct<subject:int,quality:int,cinematic:int>,vision_reason:string,width:int,height:int,license_short:string>"
+DECISIONS = (
+    "version int, pinned_portrait string, book struct<title:string,character:string>, shots map<string,struct<visual:string,query:string,duration_sec:double,arabic_caption_excerpt:string,"
+    f"chosen:string,chosen_url:string,chosen_file:string,override:string,candidates:array<{CANDIDATE}>>>"
+)
+#: Fields of a shot's decision and what is read where one is missing; a missing override stays null.
+_DECIDED = (("visual", ""), ("query", ""), ("duration_sec", 0.0), ("arabic_caption_excerpt", ""), ("chosen", ""), ("chosen_url", ""), ("chosen_file", ""))
+
+
+def decisions_json(shots: DataFrame, candidates: DataFrame, plans: DataFrame) -> DataFrame:
+    """Whole dossiers: ``(plan_id, document)``. ``shots``: plan_id, shot_no and fields of a decision; ``candidates``: plan_id,
+    shot_no, ord and fields of a candidate; ``plans``: plan_id and pinned_portrait. Fields that aren't given are left out."""
+    fields = [c for c in candidates.columns if c not in ("plan_id", "shot_no", "ord")]
+    c = candidates.groupBy("plan_id", "shot_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct(*fields).alias("c")))), lambda x: x["c"]).alias("candidates"))
+    entry = F.struct(F.col("shot_no").cast("string").alias("k"), F.struct(*(n for n in shots.columns if n not in ("plan_id", "shot_no")), "candidates").alias("v"))
+    s = shots.join(c, ["plan_id", "shot_no"], "left").groupBy("plan_id").agg(F.map_from_entries(F.collect_list(entry)).alias("shots"))
+    return s.join(plans, "plan_id", "left").select("plan_id", F.to_json(F.struct(F.lit(1).alias("version"), "pinned_portrait", "shots")).alias("document"))
+
+
+def read_decisions(documents: DataFrame) -> DataFrame:
+    """A row a shot with all fields of its decision and its plan's ``pinned_portrait``; missing fields get their defaults."""
+    j = documents.select("plan_id", F.from_json("document", DECISIONS).alias("j")).select("plan_id", "j.pinned_portrait", F.explode("j.shots").alias("k", "v"))
+    kept = [F.coalesce(F.col("v")[n], F.lit(d)).alias(n) for n, d in _DECIDED]
+    return j.select("plan_id", F.col("k").cast("int").alias("shot_no"), *kept, F.col("v.override").alias("override"), "pinned_portrait", F.coalesce("v.candidates", F.array().cast(f"array<{CANDIDATE}>")).alias("candidates"))
+
+
 def cache_put(cache: DataFrame, results: DataFrame) -> DataFrame:
     """The cache with ``results`` in place of entries of the same query: (query_hash, query, best, at)."""
     new = results.withColumn("query_hash", T.query_hash(F.col("query"))).withColumn("__new", F.lit(1))

@@ -17,7 +17,18 @@ MAX_TOKENS, OVERLAP_TOKENS, STUB_WORDS = 1500, 200, 8
 SEPARATORS = ("\n\n", "\n", ".", "،", " ")
 
 
-def sections(pages: DataFrame) -> DataFrame:
+#: Marks that carry a line's page number through packing; they stand inside a word, so no count changes.
+_PAGE_MARK = "\ue000(\\d+)\ue001"
+
+
+def _marked(line: Column, page_no: Column) -> Column:
+    """``line`` with its page's number before its first word; blank lines stay."""
+    mark = F.concat(F.lit("\ue000"), page_no.cast("string"), F.lit("\ue001"))
+    lead = F.regexp_extract(line, f"^{T.WS}*", 0)
+    return F.when(T.strip(line) == "", line).otherwise(F.concat(lead, mark, F.substring(line, F.length(lead) + 1, F.length(line))))
+
+
+def sections(pages: DataFrame, mark_pages: bool = False) -> DataFrame:
     """``(book_id, sec_no, chapter, text)``: text before the first heading is "intro", headings without a body go to the next
     section that has one, trailing ones to the last; a book without headings is "full_book". Blank pages are left out."""
     w = Window.partitionBy("book_id").orderBy("page_no", "line_no")
@@ -25,6 +36,8 @@ def sections(pages: DataFrame) -> DataFrame:
         pages.where(T.strip(F.col("raw_text")) != "").select("book_id", "page_no", F.posexplode(F.split("raw_text", "\n")).alias("line_no", "line"))
         .withColumn("is_head", T.is_heading(F.col("line"))).withColumn("h", F.sum(F.col("is_head").cast("int")).over(w))
     )
+    if mark_pages:
+        lines = lines.withColumn("line", _marked(F.col("line"), F.col("page_no")))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_head"), F.struct("page_no", "line_no", "line")))), lambda x: x["line"]), "\n")
     heads = lines.groupBy("book_id", "h").agg(T.strip(body).alias("body"), T.strip(F.max(F.when(F.col("is_head"), F.col("line")))).alias("title"))
     by = Window.partitionBy("book_id").orderBy("h")
@@ -78,16 +91,14 @@ def pack(text: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERL
 def chunk_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, stub_words: int = STUB_WORDS, exact_pages: bool = False) -> DataFrame:
     """``(book_id, chunk_id, chapter, page_start, page_end, word_count, token_est, text)`` of every book.
 
-    Pieces under ``stub_words`` words are put before the next real piece, trailing ones after the last. As in the reference the
-    page range of every chunk is the book's; ``exact_pages`` isn't offered for lack of offsets after normalisation.
+    Pieces under ``stub_words`` words are put before the next real piece, trailing ones after the last. The page range
+    of every chunk is the book's, or with ``exact_pages`` that of the pages whose lines it holds, its overlap's with them.
     """
-    if exact_pages:
-        raise NotImplementedError("page ranges are the book's")
     span = pages.where(T.strip(F.col("raw_text")) != "").groupBy("book_id").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"))
     w = Window.partitionBy("book_id").orderBy("sec_no", "i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     p = (
-        sections(pages).select("book_id", "sec_no", "chapter", F.posexplode(pack(F.col("text"), max_tokens, overlap_tokens)).alias("i", "piece"))
+        sections(pages, exact_pages).select("book_id", "sec_no", "chapter", F.posexplode(pack(F.col("text"), max_tokens, overlap_tokens)).alias("i", "piece"))
         .withColumn("piece", T.strip(F.col("piece"))).withColumn("real", (T.n_words(F.col("piece")) >= stub_words).cast("int"))
         .withColumn("n", F.coalesce(F.sum("real").over(before), F.lit(0))).withColumn("total", F.sum("real").over(Window.partitionBy("book_id")))
     )
@@ -95,8 +106,18 @@ def chunk_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
     pieces = F.sort_array(F.collect_list(F.struct("sec_no", "i", "piece")))
     text = F.array_join(F.transform(pieces, lambda x: x["piece"]), "\n\n")
     chapter = F.max_by("chapter", F.when(F.col("real") == 1, F.struct("sec_no", "i")))
+    if exact_pages:  # a piece from the middle of a line is on the page of the piece before it
+        nos = F.regexp_extract_all("piece", F.lit(_PAGE_MARK), F.lit(1)).cast("array<int>")
+        p = p.withColumn("nos", nos).withColumn("from", F.coalesce(F.array_min("nos"), F.last(F.get("nos", F.size("nos") - 1), ignorenulls=True).over(before)))
+        p = p.withColumn("from", F.when(F.startswith("piece", F.lit("\ue000")), F.col("from")).otherwise(F.least("from", F.coalesce(F.last(F.get("nos", F.size("nos") - 1), ignorenulls=True).over(before), F.col("from")))))
+        p = p.withColumn("to", F.coalesce(F.array_max("nos"), F.col("from")))
+        own = p.groupBy("book_id", "chunk_id").agg(F.min("from").alias("page_start"), F.max("to").alias("page_end"))
     c = p.groupBy("book_id", "chunk_id").agg(text.alias("text"), F.coalesce(chapter, F.lit("intro")).alias("chapter"))
     n = T.n_words(F.col("text"))
+    if exact_pages:
+        bare = lambda x: F.regexp_replace(x, _PAGE_MARK, "")
+        c = c.withColumns({"text": bare(F.col("text")), "chapter": bare(F.col("chapter"))})
+        return c.join(own, ["book_id", "chunk_id"]).select("book_id", "chunk_id", "chapter", "page_start", "page_end", n.alias("word_count"), T.token_est(n).alias("token_est"), "text")
     return c.join(span, "book_id").select("book_id", "chunk_id", "chapter", "page_start", "page_end", n.alias("word_count"), T.token_est(n).alias("token_est"), "text")
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.operators import intervals
 from quire.session import table as t
 
-from . import book_queries, extra_queries, job_queries, kernel_queries, layout_queries, line_queries, media_queries, text_queries, timeline_queries
+from . import book_queries, extra_queries, job_queries, kernel_queries, layout_queries, line_queries, media_queries, slot_queries, text_queries, timeline_queries
 
-MODULES = (text_queries, line_queries, book_queries, timeline_queries, media_queries, layout_queries, kernel_queries, extra_queries, job_queries)
+MODULES = (text_queries, line_queries, book_queries, timeline_queries, media_queries, layout_queries, kernel_queries, extra_queries, job_queries, slot_queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

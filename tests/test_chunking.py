@@ -132,3 +132,18 @@ def test_script_revision_counts_whole_books(spark, monkeypatch):
     got = {r.book_id: r for r in kernel_queries.script_revision(spark, "").collect()}
     # the last attempt's script has the marks of two failed attempts
     assert got["long"].n_words == 3500 + 2 * 3 and got["long"].retries == 3 and got["short"].n_words == 3 + 2 * 3
+
+
+def test_exact_pages(spark):
+    say = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n)) + "."
+    rows = [("b", i, "\n".join(["  " + say(f"{i}a", 40), "", say(f"{i}b", 30)])) for i in range(1, 9)] + [("c", 1, "A heading here\nsome words of the body of it."), ("c", 2, "more words on the second page of this book.")]
+    df = spark.createDataFrame(rows, "book_id string, page_no int, raw_text string")
+    plain = {(r.book_id, r.chunk_id): r for r in C.chunk_pages(df, 200, 20).collect()}
+    exact = {(r.book_id, r.chunk_id): r for r in C.chunk_pages(df, 200, 20, exact_pages=True).collect()}
+    assert plain.keys() == exact.keys() and len(exact) > 5
+    for k, r in exact.items():
+        assert (r.text, r.chapter, r.word_count, r.token_est) == tuple(plain[k][c] for c in ("text", "chapter", "word_count", "token_est"))
+        on = {no for b, no, t in rows if b == r.book_id for w in r.text.split() if w.strip(".") in t.replace(".", "").split()}
+        if r.book_id == "b":
+            assert (r.page_start, r.page_end) == (min(on), max(on)), k
+    assert (exact[("c", 0)].page_start, exact[("c", 0)].page_end) == (1, 2)
