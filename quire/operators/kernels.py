@@ -209,28 +209,31 @@ def salvaged_plans(df: DataFrame, raw: str = "raw") -> DataFrame:
 def stitch_pages(pages: DataFrame, kernel: str | Callable[[str], dict]) -> DataFrame:
     """Pages joined over their boundaries, book by book in order: ``(book_id, page_no, text)``.
 
-    The kernel sees the last two and the first three non-blank lines of neighbouring pages and tells ``join`` and ``header``.
-    Joining moves the first non-blank line of the next page to the end of this one, and the next boundary sees that - a chain,
-    so a book is one group. A book's pages are the bound of a group."""
-    ask = (lambda p: {"join": digest(p, 1, 3)[0] == 0, "header": None}) if kernel == "stub" else kernel
+    The kernel sees the last two and the first three non-blank lines of neighbouring pages and tells ``join``, ``header``,
+    ``footer`` and ``footnote_span``. A header is blanked on the next page, a footer on this one, from its end. Joining moves the first
+    non-blank line of the next page to the end of this one, unless a footnote spans both; the next boundary sees that - a chain, so a
+    book is one group. A book's pages are the bound of a group."""
+    ask = (lambda p: {"join": digest(p, 1, 3)[0] == 0}) if kernel == "stub" else kernel
+
+    def blank(lines: list[str], said: str | None, order: Callable) -> None:
+        """Blank the first line, in ``order``, that holds what was said or is part of it."""
+        hit = next((k for k in order(range(len(lines))) if lines[k].strip() and (said.strip() in lines[k] or lines[k].strip() in said)), None) if said else None
+        if hit is not None:
+            lines[hit] = ""
 
     def book(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("page_no")
         texts = [(t or "").splitlines() for t in b["raw_text"]]
-        for i in range(len(texts) - 1):
-            tail, head = [x for x in texts[i] if x.strip()][-2:], [x for x in texts[i + 1] if x.strip()][:3]
+        for here, then in zip(texts, texts[1:], strict=False):
+            tail, head = [x for x in here if x.strip()][-2:], [x for x in then if x.strip()][:3]
             if not tail or not head:
                 continue
             said = ask("\n".join(tail) + "\n---\n" + "\n".join(head))
-            if said.get("header"):
-                h = said["header"]
-                at = next((k for k, x in enumerate(texts[i + 1]) if x.strip() and (h in x or x.strip() in h)), None)
-                if at is not None:
-                    texts[i + 1][at] = ""
-            if said.get("join"):
-                at = next((k for k, x in enumerate(texts[i + 1]) if x.strip()), None)
-                if at is not None:
-                    texts[i].append(texts[i + 1].pop(at))
+            blank(then, said.get("header"), iter)
+            blank(here, said.get("footer"), reversed)
+            first = next((k for k, x in enumerate(then) if x.strip()), None)
+            if said.get("join") and not said.get("footnote_span") and first is not None:
+                here.append(then.pop(first))
         return pd.DataFrame({"book_id": b["book_id"], "page_no": b["page_no"], "text": ["\n".join(x) for x in texts]})
 
     return pages.select("book_id", "page_no", "raw_text").groupBy("book_id").applyInPandas(book, "book_id string, page_no int, text string")

@@ -140,15 +140,22 @@ def line_runs(bw: np.ndarray, left: int, right: int) -> list[tuple[int, int, flo
     return [(a, z, float(band[a : z + 1].any(0).mean())) for a, z in runs_of(smooth(band.mean(1), k) > 0.010) if z - a + 1 >= least]
 
 
-def stands_alone(row_ink: np.ndarray, y: int, walk: int = 30, rows: int = 18, most: float = 0.02) -> bool:
-    """Whether the stroke at row y ends within ``walk`` rows on both sides, with ``rows`` almost empty rows beyond."""
-    h = len(row_ink)
-    up = next((y - i for i in range(1, walk + 1) if y - i >= 0 and row_ink[y - i] < most), None)
-    down = next((y + i for i in range(1, walk + 1) if y + i < h and row_ink[y + i] < most), None)
-    if up is None or down is None:
+# How far a rule's white begins at most, how many rows of it there must be, and how much ink a white row may have.
+WHITE_WITHIN, WHITE_ROWS, WHITE_INK = 30, 18, 0.02
+
+
+def in_white(gaps: list[tuple[int, int]], y: int, height: int) -> bool:
+    """Whether row y has a run of white rows near it on both sides. ``gaps``: the page's runs of white rows; a run must have
+    ``WHITE_ROWS`` rows beyond y, or half of them where the page ends with it."""
+    over = [(a, min(z, y - 1)) for a, z in gaps if a < y]
+    under = [(max(a, y + 1), z) for a, z in gaps if z > y]
+    if not over or not under:
         return False
-    above, below = row_ink[max(0, up - rows + 1) : up + 1], row_ink[down : down + rows]
-    return min(len(above), len(below)) >= rows // 2 and above.max() < most and below.max() < most
+    (a, up), (down, z) = over[-1], under[0]
+    if y - up > WHITE_WITHIN or down - y > WHITE_WITHIN:
+        return False
+    enough = lambda rows, edge: rows >= (WHITE_ROWS // 2 if edge else WHITE_ROWS)
+    return enough(up - a + 1, a == 0) and enough(z - down + 1, z == height - 1)
 
 
 def rules(bw: np.ndarray, left: int, right: int) -> list[int]:
@@ -162,8 +169,8 @@ def rules(bw: np.ndarray, left: int, right: int) -> list[int]:
         return []
     groups = np.split(rows, np.flatnonzero(np.diff(rows) > 2) + 1)
     mids = [int(g[0] + g[-1]) // 2 for g in groups if g[-1] - g[0] + 1 <= 12]
-    density = band.mean(1)
-    return [y for y in mids if int(0.015 * h) <= y <= int(0.985 * h) and stands_alone(density, y)]
+    gaps = runs_of(band.mean(1) < WHITE_INK)
+    return [y for y in mids if int(0.015 * h) <= y <= int(0.985 * h) and in_white(gaps, y, h)]
 
 
 def visual_crop(gray: np.ndarray, gap: int = 20, level: float = 0.004) -> tuple[int, int]:
@@ -355,6 +362,38 @@ def page_boxes(images: DataFrame) -> DataFrame:
     return images.mapInPandas(each, "book_id string, page_no int, height int, width int, x int, y int, w int, h int, area int")
 
 
+def page_crops(images: DataFrame) -> DataFrame:
+    """Rows to cut at the top and bottom of each page image by its first wide gaps: ``(book_id, page_no, top, bottom)``."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(r.book_id, r.page_no, *visual_crop(_image(r))) for r in b.itertuples(index=False)], columns=["book_id", "page_no", "top", "bottom"])
+
+    return images.mapInPandas(each, "book_id string, page_no int, top int, bottom int")
+
+
+def page_captions(images: DataFrame) -> DataFrame:
+    """Photos of each page image, grown over faint edges, with the captions found for them:
+    ``(book_id, page_no, x, y, w, h, caption_x, caption_y, caption_w, caption_h)``; without a caption these are null."""
+    columns = ["book_id", "page_no", "x", "y", "w", "h", "caption_x", "caption_y", "caption_w", "caption_h"]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                g = _image(r)
+                bw, hull = ink(g), [x[:4] for x in photo_boxes(dark(g)) if x[2] * x[3] >= 0.005 * g.size]
+                boxes, claimed = [refine_by_border(bw, expand_box(x, bw)) for x in hull], []
+                for x in boxes:
+                    c = find_caption(bw, x, [o for o in boxes if o != x], claimed)
+                    if c:
+                        claimed.append(c)
+                    rows.append((r.book_id, r.page_no, *map(int, x), *(map(int, c) if c else [None] * 4)))
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in columns[2:]})
+
+    return images.mapInPandas(each, "book_id string, page_no int, " + ", ".join(f"{c} int" for c in columns[2:]))
+
+
 def drawn_pages(pages: DataFrame, height: int = 480, width: int = 320) -> DataFrame:
     """Stand-in page images: a strip for each line of text, as long as the line, a thin rule for a line of signs.
 

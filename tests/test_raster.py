@@ -114,3 +114,22 @@ def test_drawn_pages_hold_every_line(spark):
     assert (got[2].height, got[2].width) == (got[3].height, got[3].width) == (480, 320)
     g = np.frombuffer(got[1].pixels, np.uint8).reshape(got[1].height, got[1].width)
     assert ((g < 100).any(1)[16::17][:41]).all() and np.flatnonzero((g[16 + 17 * 40] < 100))[-1] == 30 + 4 * 400 - 2
+
+
+def test_rules_stand_in_white():
+    gaps = [(0, 9), (40, 70), (73, 99)]
+    assert raster.in_white(gaps, 71, 100) and raster.in_white(gaps, 72, 100)
+    assert not raster.in_white([(0, 9), (60, 99)], 20, 100)  # the white below is too far
+    assert not raster.in_white([(0, 8), (12, 20)], 10, 100) and raster.in_white([(0, 8), (12, 29)], 10, 100) and not raster.in_white([], 5, 100)
+
+
+def test_page_queries(spark):
+    from quire.operators import kernels as K
+
+    df = spark.createDataFrame([("b", 1, "head\n\n\n\nbody of the page here\nfoot 1"), ("b", 2, "Title\ngoes on"), ("b", 3, None)], "book_id string, page_no int, raw_text string")
+    images = raster.drawn_pages(df)
+    assert {r.page_no for r in raster.page_crops(images).collect()} == {1, 2, 3}
+    assert raster.page_captions(images).count() >= 0 and raster.page_crops(images.limit(0)).collect() == []
+    say = lambda p: {"join": True, "header": "Title", "footer": "foot", "footnote_span": "goes" not in p}
+    got = {r.page_no: r.text for r in K.stitch_pages(df, say).collect()}
+    assert got == {1: "head\n\n\n\nbody of the page here\n\ngoes on", 2: "", 3: ""}
