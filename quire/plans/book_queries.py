@@ -24,6 +24,11 @@ def book_chunks(s, d):
     return C.chunk_pages(tables.pages(s, d))
 
 
+def chunk_pages(s, d):
+    """The pages that each chunk's lines stand on."""
+    return C.chunk_pages(tables.pages(s, d), exact_pages=True).select("book_id", "chunk_id", "page_start", "page_end", "word_count")
+
+
 def chunks_overlap(s, d):
     return C.chunk_pages(_chunk_pages(s, d))
 
@@ -163,4 +168,4 @@ SELECT book_id, '# RAW EXTRACT — ' || regexp_extract(r.source_path, '([^/]*)$'
   WHEN count(*) FILTER (pdf_type = 'scanned') = count(*) THEN 'scanned' ELSE 'mixed' END AS kind FROM {PAGES} GROUP BY book_id""",
     "book_totals": f"SELECT book_id, count(*) AS n_chunks, CAST(coalesce(sum({n_words('text')}), 0) AS BIGINT) AS n_words, CAST(coalesce(sum({token_est(n_words('text'))}), 0) AS BIGINT) AS n_tokens FROM {CHUNKS} GROUP BY book_id",
 }
-QUERIES = {k: globals()[k] for k in ORACLE}
+QUERIES = {k: globals()[k] for k in (*ORACLE, "chunk_pages")}

@@ -60,6 +60,16 @@ def token_estimates(s, d):
     )
 
 
+def compatible_forms(s, d):
+    """Pages in compatibility-composed form, as extracted spans are read."""
+    return tables.pages(s, d).where("raw_text IS NOT NULL").select("book_id", "page_no", A.nfkc(F.col("raw_text")).alias("text"))
+
+
+def reading_order(s, d):
+    """Pages whose Arabic is stored in visual order, put into reading order."""
+    return tables.pages(s, d).where("raw_text IS NOT NULL").select("book_id", "page_no", A.visual_lam_alef(F.col("raw_text")).alias("text"))
+
+
 def font_routing(s, d):
     c = F.col("raw_text")
     return (
@@ -323,4 +333,4 @@ FROM {values([(x,) for x in LICENSES], 'license')}""",
 FROM (SELECT answer, regexp_extract(answer, '(?s)\\{{.*?\\}}') AS o FROM {values([(x,) for x in ANSWERS], 'answer')})""",
 }
 
-QUERIES = {k: globals()[k] for k in ORACLE}
+QUERIES = {k: globals()[k] for k in (*ORACLE, "compatible_forms", "reading_order")}
