@@ -145,7 +145,8 @@ def _over_shards(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def shot_coverage(shots: DataFrame, tolerance_ms: int = 50) -> DataFrame:
     """Continuous periods of each plan's shots and the gaps between them, in milliseconds.
 
-    Times that aren't numbers, or not within 10^12 seconds, count as null: such shots are ignored."""
+    Times that aren't numbers, or not within 10^12 seconds, count as null: such shots are ignored. A shot whose times round to
+    the same millisecond covers nothing and is ignored too."""
     ms = lambda c: F.rint(F.col(c) * 1000).cast("long")
     finite = (F.abs(F.col("start")) < 1e12) & (F.abs(F.col("end")) < 1e12)
     ok = shots.where(F.col("end") > F.col("start")).where(finite & ~F.isnan("start") & ~F.isnan("end"))
