@@ -166,9 +166,9 @@ ORACLE = {
     "dossier_resolution": f"""SELECT shot_no, CASE via WHEN 'override' THEN 'o' || shot_no WHEN 'pinned' THEN 'p1' WHEN 'chosen' THEN 'c' || shot_no END AS path, via
 FROM (SELECT doc_id AS shot_no, CASE WHEN {_n(1, 4)} = 0 AND {_n(3, 2)} = 0 THEN 'override' WHEN {_n(4, 2)} = 0 THEN 'pinned' WHEN {_n(2, 2)} = 0 AND {_n(3, 3)} > 0 THEN 'chosen' END AS via FROM documents)""",
     "user_uploads": f"""
-WITH x AS (SELECT shot_no, min(CASE WHEN shot_no = 9 THEN 'z' ELSE coalesce(search_query, '') END) AS q FROM {SHOTS} GROUP BY shot_no), f AS {values(FILES, 'name')}, m AS (SELECT * FROM {values(MANIFEST, 'key, name')} SEMI JOIN f USING (name)),
+WITH x AS (SELECT plan_id, shot_no, coalesce(search_query, '') AS q FROM {SHOTS}), f AS {values(FILES, 'name')}, m AS (SELECT * FROM {values(MANIFEST, 'key, name')} SEMI JOIN f USING (name)),
 n AS (SELECT regexp_extract(name, '^shot_(\\d+)', 1) AS n, min(name) AS name FROM f WHERE regexp_matches(name, '^shot_\\d+\\.(jpg|jpeg|png|webp|tif|tiff)$') GROUP BY 1)
-SELECT shot_no, coalesce(a.name, b.name, n.name) AS path, CASE WHEN a.name IS NOT NULL THEN 'number' WHEN b.name IS NOT NULL THEN 'query' WHEN n.name IS NOT NULL THEN 'name' END AS via
+SELECT plan_id, shot_no, coalesce(a.name, b.name, n.name) AS path, CASE WHEN a.name IS NOT NULL THEN 'number' WHEN b.name IS NOT NULL THEN 'query' WHEN n.name IS NOT NULL THEN 'name' END AS via
 FROM x LEFT JOIN m a ON a.key = CAST(shot_no AS VARCHAR) LEFT JOIN m b ON b.key = 'query:' || q LEFT JOIN n ON n.n = printf('%02d', shot_no)""",
     "dossier_round_trip": f"SELECT plan_id, shot_no, coalesce(visual, '') AS visual, coalesce(search_query, '') AS query, CASE WHEN search_query <> '' THEN shot_no % 3 + 1 ELSE 0 END AS n_candidates FROM {SHOTS}",
     "cache_put": f"""
