@@ -96,10 +96,6 @@ def page_crops(s, d):
     return R.page_crops(_some_images(s, d))
 
 
-def page_captions(s, d):
-    return R.page_captions(_some_images(s, d))
-
-
 _R = "r AS (SELECT user_id AS page, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS y, value AS level FROM events WHERE value IS NOT NULL)"
 _B = """b AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS book_id, 1400 AS height, 1000 AS width, CAST(l_partkey * 37 % 700 AS INTEGER) AS x, CAST(l_suppkey * 53 % 1000 AS INTEGER) AS y, CAST(l_partkey * 11 % 290 + 10 AS INTEGER) AS w,
   CAST(l_suppkey * 17 % 380 + 20 AS INTEGER) AS h, CAST((l_partkey * 11 % 290 + 10) * (l_suppkey * 17 % 380 + 20) * (l_linenumber % 5 + 1) // 5 AS INTEGER) AS area, (l_partkey * 7 % 100) / CAST(1000.0 AS DOUBLE) AS fill FROM lineitem),
@@ -142,4 +138,4 @@ SELECT book_id, page_no, header0, header1, footer0, footer1, rule_y, keep_top, g
   CASE WHEN b1 > b0 THEN b0 END AS band0, CASE WHEN b1 > b0 THEN b1 END AS band1 FROM z""",
     "caption_density": "SELECT event_id, value / 100 > CAST(0.005 AS DOUBLE) AND value / 100 < CAST(0.50 AS DOUBLE) AS is_text FROM events WHERE value IS NOT NULL",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLE, "page_margins", "page_boxes", "page_crops", "page_captions")}
+QUERIES = {k: globals()[k] for k in (*ORACLE, "page_margins", "page_boxes", "page_crops")}
