@@ -1,4 +1,6 @@
-from quire.llm.ocr import PAGE_NUMBER, Gate, Heads, editor_from, errors, lacking_words, lost_letters, noisy_examples, noisy_pages, page_noise, page_numbers, repair, repaired_pages
+import numpy as np
+
+from quire.llm.ocr import PAGE_NUMBER, Gate, Heads, editor_from, errors, lacking_words, lost_letters, noisy_examples, noisy_pages, page_noise, page_numbers, repair, repaired_pages, train_editor, train_heads
 
 PAGE = "book_id string, page_no int, pdf_type string, raw_text string, raw_text_pre string, ingested_at timestamp, title string"
 BOOK = "book_id string, source_path string, metadata map<string,string>, ingested_at timestamp"
@@ -96,3 +98,26 @@ def test_operators(spark):
     texts = {(r.book_id, r.page_no): r.text for r in repaired_pages(p, b).collect()}
     assert "Title" not in texts[("b", 1)] and "village" in texts[("b", 1)] and texts[("b", 4)] == ""
     assert page_noise(p.limit(0), b.limit(0)).collect() == []
+
+
+def test_every_page_is_learnt_from(spark):
+    words = [c * 2 + "arbour" + c for c in "bcdfghjklmnpqrstvwxz"]  # each on 3 of 420 pages
+    rows = [("d", i, "digital", EN + (words[i // 3] if i < 60 else "") + " again 7th.", None, None, "x") for i in range(420)]
+    rows += [("b", i, "scanned", ("My Old Title | 4\n" if i % 40 == 0 else "") + EN, None, None, "x") for i in range(400)]
+    p, b = spark.createDataFrame(rows, PAGE), spark.createDataFrame([("b", "s", {"title": "My Old Title"}, None)], BOOK)
+    e = train_editor(p)
+    assert all(w[:3] + w[4:] in e.lacking for w in words)
+    assert {k for k, *_ in errors("the ha1bour was lo-\nst again 7th.", e)} == {"misread", "hyphen"}
+    h = train_heads(p, b)
+    assert [h.heads(("My Old Title | 4\n" + EN).split("\n"))[0][1:]] == [("my old title", True, True)] and len(h.heads(EN.split("\n"))) == 0
+
+
+def test_counts_stand_for_texts():
+    texts = noisy_pages([EN, AR] * 40)
+    counts = Gate.count(texts)
+    codes = np.array(sorted({c for c, _ in counts}))
+    gate = Gate().fit_counts(codes, *(np.array([counts.get((c, y), 0) for c in codes.tolist()]) for y in (False, True)))
+    assert sum(n for (_, y), n in counts.items() if y) == sum(len(w) for _, w in texts)
+    through = [{i for a, z in p for i in range(a, z)} for p in gate.places([t for t, _ in texts])]
+    assert sum(len(w & x) for (_, w), x in zip(texts, through)) > 0.99 * sum(len(w) for _, w in texts)
+    assert Gate().fit_counts(codes[:0], codes[:0], codes[:0]).places(["x1y"]) == [[]]
