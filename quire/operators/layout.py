@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,43 @@ def margins(runs: DataFrame, rules: DataFrame, pad_top: int = 20, pad_bottom: in
     return t.select(*PAGE, "header0", "header1", "footer0", "footer1", "rule_y", "keep_top", "keep_bottom", F.when(band1 > band0, band0).alias("band0"), F.when(band1 > band0, band1).alias("band1"))
 
 
+def page_margin(runs: list[tuple[int, int, float]], rules: list[int], h: int, pad_top: int = 20, pad_bottom: int = 20) -> tuple | None:
+    """``margins`` of one page's runs and rules, without the page's key; None where that has no row."""
+    x = [r for r in runs if not ((r[0] <= 2 or r[1] >= h - 3) and r[1] - r[0] + 1 <= max(3, floor(h * 0.012)))]
+    if not x:
+        return None
+    gaps = [b[0] - a[1] for a, b in zip(x, x[1:], strict=False)]
+    widths = sorted(r[2] for r in x)
+    mid_gap = sorted(gaps)[len(gaps) // 2] if len(x) >= 3 else max(8, floor(h * 0.012))
+    least = max(floor(mid_gap * 0.6), 20)
+    small = lambda r: r[2] < widths[len(x) // 2] * 0.6 or r[1] - r[0] + 1 < floor(h * 0.04)
+    header0 = header1 = footer0 = footer1 = last_body = None
+    body = x
+    if x[0][0] <= floor(h * 0.12) and small(x[0]) and (gaps[0] if gaps else h) >= least:
+        (header0, header1, _), body = x[0], x[1:]
+    if not body:
+        return None
+    first, last = body[0][0], max(r[1] for r in body)
+    foot = body[-1][1] >= floor(h * (1 - 0.12)) and small(body[-1]) and (gaps[-1] if len(body) >= 2 else h) >= least
+    above = (header1 if header1 is not None else first) + max(floor(h * 0.05), 50)
+    rule = min((y for y in rules if y > above and sum(r[1] < y for r in body) >= 2), default=None)
+    if rule is None and foot:
+        footer0, footer1, _ = body[-1]
+        last_body = max((r[1] for r in body[:-1]), default=None)
+        last = last_body if last_body is not None else h - 1
+        first = first if last_body is not None else 0
+    keep_top = max(header1 + 4 if header1 is not None else 0, first - pad_top)
+    bound = rule - 12 if rule is not None else footer0 - 4 if footer0 is not None else h - 1
+    band0 = band1 = None
+    if rule is not None:
+        band0, band1 = max(0, rule - 8), h - max(3, floor(h * 0.012)) - 1
+    elif footer0 is not None:
+        band0, band1 = max(0, footer0 - 8), min(h - 1, footer1 + 8)
+    if band0 is not None and band1 <= band0:
+        band0 = band1 = None
+    return header0, header1, footer0, footer1, rule, keep_top, max(keep_top + 1, min(bound, last + pad_bottom)), band0, band1
+
+
 def footer_band(rule: Column, f0: Column, f1: Column, height: Column, pad: int = 8) -> tuple[Column, Column]:
     """First and last row of the footer's picture; null without a footer."""
     a = F.when(rule.isNotNull(), F.greatest(F.lit(0), rule - pad)).when(f0.isNotNull(), F.greatest(F.lit(0), f0 - pad))

@@ -133,3 +133,54 @@ def test_page_queries(spark):
     say = lambda p: {"join": True, "header": "Title", "footer": "foot", "footnote_span": "goes" not in p}
     got = {r.page_no: r.text for r in K.stitch_pages(df, say).collect()}
     assert got == {1: "head\n\n\n\nbody of the page here\n\ngoes on", 2: "", 3: ""}
+
+
+def test_packed_images_read_as_whole_ones():
+    rng = np.random.default_rng(5)
+    texts = ["\n".join(("", "____", "x" * int(rng.integers(1, 200)), "ab c")[k] for k in rng.integers(0, 4, rng.integers(1, 60))) for _ in range(40)]
+    for t in [*texts, "", None, "a\n\n" * 90]:
+        rows, times = raster.drawn(t, 480, 320)
+        g = np.repeat(rows, times, axis=0)
+        assert raster.packed_levels(rows, times) == raster.otsu(g)
+        bw, few = raster.ink(g), rows <= raster.otsu(g)
+        at = raster.active_columns(bw)
+        assert at == raster.active_columns(few, times=times)
+        assert raster.line_runs(bw, *at) == raster.line_runs(few, *at, times) and raster.rules(bw, *at) == raster.rules(few, *at, times)
+        assert list(map(tuple, raster.packed_photo_boxes(raster.dark(g), np.ones(len(g), int)).tolist())) == raster.photo_boxes(raster.dark(g))
+        assert list(map(tuple, raster.packed_photo_boxes(rows < 0.85 * raster.otsu(g), times).tolist())) == raster.photo_boxes(raster.dark(g))
+    for k in (3, 5, 7):
+        m = np.repeat(rng.random((9, 30)) < 0.3, rng.integers(1, 30, 9), axis=0)
+        c, n = raster.packed_close(*raster.packed(m), k)
+        assert (np.repeat(c, n, axis=0) == raster.close(m, k)).all() and (raster.dilate(m, k, 4) == (raster.box_sum(m, k, 4) > 0)).all()
+
+
+def test_page_margin_is_margins(spark):
+    rng = np.random.default_rng(7)
+    pages = []
+    for no in range(300):
+        h, y, runs = int(rng.integers(60, 900)), 0, []
+        while (y := y + int(rng.integers(0, 80))) < h - 2 and len(runs) < 12:
+            z = min(h - 1, y + int(rng.integers(0, 40)))
+            runs.append((y, z, float(rng.choice([0.1, 0.5, 0.9, 1.0]))))
+            y = z + 1
+        pages.append((no, h, runs, sorted({int(v) for v in rng.integers(0, h, rng.integers(0, 4))})))
+    runs = spark.createDataFrame([("b", no, h, *r) for no, h, rs, _ in pages for r in rs], "book_id string, page_no int, height int, y0 int, y1 int, width_frac double")
+    lines = spark.createDataFrame([("b", no, y) for no, _, _, ys in pages for y in ys], "book_id string, page_no int, y int")
+    want = {tuple(r)[1:] for r in layout.margins(runs, lines).collect()}
+    assert want == {(no, *m) for no, h, rs, ys in pages if (m := layout.page_margin(rs, ys, h))} and len(want) > 200
+
+
+def test_page_images_stay_where_they_are_drawn(spark, tmp_path, monkeypatch):
+    from quire.plans import layout_queries as Q
+
+    rows = [("b", 1, "digital", "Head\n\n\n" + "body of the page " * 5 + "\nmore\n___\nfoot"), ("b", 1, "scanned", "one\ntwo"), ("b", 2, None, "x\n" * 9), ("b", 3, None, None), (None, 4, None, "a\nb")]
+    rows = [(*r, None) for r in [*rows, rows[0]]]
+    spark.createDataFrame(rows, "book_id string, page_no int, pdf_type string, raw_text string, raw_text_pre string").write.parquet(str(tmp_path / "page.parquet"))
+    pages = spark.read.parquet(str(tmp_path / "page.parquet")).distinct().where("raw_text IS NOT NULL")
+    images = raster.drawn_pages(pages)
+    boxes = {(r.book_id, r.page_no): (r.n, r.a) for r in raster.page_boxes(images).groupBy("book_id", "page_no").agg({"area": "sum", "x": "count"}).toDF("book_id", "page_no", "a", "n").collect()}
+    margins = {tuple(r) for r in layout.margins(raster.page_runs(images), raster.page_rules(images)).collect()}
+    monkeypatch.setattr(raster, "page_boxes", None)
+    got = {(r.book_id, r.page_no): (r.n_boxes, r.area) for r in Q.page_boxes(spark, str(tmp_path)).collect()}
+    assert (got == boxes or {k: v[::-1] for k, v in got.items()} == boxes) and len(boxes) == 3
+    assert {tuple(r) for r in Q.page_margins(spark, str(tmp_path)).collect()} == margins and len(margins) == 2
